@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from cinderfold.llm.language_id import op2_language_id
+from cinderfold.llm.media import op9_media_columns
 from cinderfold.llm.token_output import op1_token_output
 
-QUERIES = {"op1_token_output": op1_token_output}
+QUERIES = {"op1_token_output": op1_token_output, "op2_language_id": op2_language_id, "op9_media_columns": op9_media_columns}
 
 ORACLE_SQL: dict[str, str] = {}
