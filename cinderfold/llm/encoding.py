@@ -21,7 +21,7 @@ class _Chunks(dict):
 
     def __init__(self, encode, prefix: str, after: _Chunks | None):
         super().__init__()
-        self.encode, self.prefix, self.after = encode, prefix, after or self
+        self.encode, self.prefix, self.after = encode, prefix, self if after is None else after
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= KEPT_CHUNKS:
