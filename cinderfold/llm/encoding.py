@@ -10,39 +10,46 @@ import numpy as np
 
 #: Single spaces between two non-space characters always start a new pre-token of byte-level BPE.
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_ODD_SPACE = re.compile(r"\s | \s")
-_NO_SHORTCUT = re.compile(r"[^a-zA-ZÀ-ÖØ-öø-ɏ]")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_WORD = re.compile(f"[{_LETTERS}]+")
+_WORDS = re.compile(f"([{_LETTERS}]+)([.,])(?:(\n)([{_LETTERS}]+)([.,]?))?")
+#: White space other than space and newline.
+_RARE_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 500_000
 
 
 class _Chunks(dict):
-    """Bytes of the ids of prefix + chunk, by chunk; emptied when full, so memory stays bounded."""
+    """Bytes of the ids of prefix + chunk, by chunk; emptied when full, so memory stays bounded.
 
-    def __init__(self, encode, prefix: str, after: _Chunks | None):
+    A run of letters is one pre-token and goes straight to the library's model; one with a stop or comma, and two words
+    around the end of a line, are put together from their pre-tokens; all else goes through the library as it is.
+    """
+
+    def __init__(self, owner: Encoder, prefix: str, after: _Chunks | None):
         super().__init__()
-        self.encode, self.prefix, self.after = encode, prefix, self if after is None else after
+        self.owner, self.prefix, self.after = owner, prefix, self if after is None else after
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= KEPT_CHUNKS:
             self.clear()
-        word, rest = chunk, ""
-        if chunk[-1:] in (",", ".") or ".\n" in chunk:
-            cut = len(chunk) - 1 if chunk[-1] in ",." and "\n" not in chunk else chunk.find(".\n")
-            word, rest = chunk[:cut], chunk[cut:]
-        if rest and word and not _NO_SHORTCUT.search(word):
-            if rest in (",", "."):
-                got = self[word] + self.after[rest]
-            elif not _NO_SHORTCUT.search(rest[2:].rstrip(",.")) and len(rest) - len(rest.rstrip(",.")) <= 1 and rest[2:3] not in ("", ",", "."):
-                got = self[word] + self.after["."] + self.after["\n"] + self.after[rest[2:]]
-            else:
-                got = self.encode(self.prefix + chunk)
+        if _WORD.fullmatch(chunk):
+            got = self.owner.pre_token(self.prefix + chunk)
+        elif m := _WORDS.fullmatch(chunk):
+            got = self[m[1]] + b"".join([self.after[x] for x in m.groups()[1:] if x])
         else:
-            got = self.encode(self.prefix + chunk)
+            got = self.owner.library(self.prefix + chunk)
         self[chunk] = got
         return got
 
 
+def _byte_characters() -> dict[int, int]:
+    """Byte-level BPE's characters: printable bytes stand for themselves, the others are numbered from 256."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, add_special_tokens=False.
 
@@ -61,10 +68,16 @@ class Encoder:
         self.special = [t["content"] for t in said["added_tokens"]]
         self.by_chunk = said["normalizer"] is None and said["truncation"] is None and said["padding"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not any(" " in s or "\n" in s for s in self.special)
         self.n_vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.first = _Chunks(self._library, "", None)
-        self.rest = _Chunks(self._library, " ", self.first)
+        self.model, self.characters = self.tokenizer.model, _byte_characters()
+        self.first = _Chunks(self, "", None)
+        self.rest = _Chunks(self, " ", self.first)
+
+    def pre_token(self, text: str) -> bytes:
+        """Ids of a text that is one pre-token."""
+        shown = text.encode().decode("latin-1").translate(self.characters)
+        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
 
-    def _library(self, text: str) -> bytes:
+    def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str | None) -> np.ndarray:
@@ -75,8 +88,9 @@ class Encoder:
         if not text:
             return b""
         if not self.by_chunk or any(s in text for s in self.special):
-            return self._library(text)
-        chunks = _SAFE_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+            return self.library(text)
+        odd = "  " in text or "\n " in text or " \n" in text or any(c in text for c in _RARE_SPACE)
+        chunks = _SAFE_SPACE.split(text) if odd else text.split(" ")
         head = chunks[0]
         return (self.first[head] if head else b"") + b"".join(map(self.rest.__getitem__, chunks[1:]))
 
