@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -12,7 +13,8 @@ import numpy as np
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _WORD = re.compile(f"[{_LETTERS}]+")
-_WORDS = re.compile(f"([{_LETTERS}]+)([.,])(?:(\n)([{_LETTERS}]+)([.,]?))?")
+_MARKS = r"!-&(-/:-@\[-`{-~"  # of ASCII, but for the apostrophe, which may open a contraction
+_WORDS = re.compile(f"([{_LETTERS}]+)([{_MARKS}]+)(?:(\n)([{_LETTERS}]+)([{_MARKS}]*))?")
 #: White space other than space and newline.
 _RARE_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
@@ -22,7 +24,7 @@ KEPT_CHUNKS = 500_000
 class _Chunks(dict):
     """Bytes of the ids of prefix + chunk, by chunk; emptied when full, so memory stays bounded.
 
-    A run of letters is one pre-token and goes straight to the library's model; one with a stop or comma, and two words
+    A run of letters is one pre-token and goes straight to the library's model; one with marks behind it, and two words
     around the end of a line, are put together from their pre-tokens; all else goes through the library as it is.
     """
 
@@ -33,7 +35,7 @@ class _Chunks(dict):
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= KEPT_CHUNKS:
             self.clear()
-        if _WORD.fullmatch(chunk):
+        if chunk.isalpha() and (chunk.isascii() or _WORD.fullmatch(chunk)):
             got = self.owner.pre_token(self.prefix + chunk)
         elif m := _WORDS.fullmatch(chunk):
             got = self[m[1]] + b"".join([self.after[x] for x in m.groups()[1:] if x])
@@ -73,9 +75,12 @@ class Encoder:
         self.rest = _Chunks(self, " ", self.first)
 
     def pre_token(self, text: str) -> bytes:
-        """Ids of a text that is one pre-token."""
-        shown = text.encode().decode("latin-1").translate(self.characters)
-        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        """Ids of a run of letters, which is one pre-token, with or without the space before it."""
+        if text.isascii():  # letters, at most a space before them
+            shown = "Ġ" + text[1:] if text[0] == " " else text
+        else:
+            shown = text.encode().decode("latin-1").translate(self.characters)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -42,12 +42,12 @@ def test_random_access():
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("aZé ßñ1½²._'s,!\n\t\r\x1c\x85\xa0 汉\U0001f600|<>endoftx")), max_size=40))
+@given(st.text(alphabet=st.sampled_from(list("aZé ßñ1#½²._'s,!\n\t\r\x1c\x85\xa0 汉\U0001f600|<>endoftx")), max_size=40))
 def test_chunked_ids_are_the_librarys(enc, text):
     assert enc.ids(text).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("text", ["a  b", "a   b", " a ", "it's, it's.\nIt's", "x.\nAnd, y", "a.\n\nB", "<|endoftext|> a", "...", "word.\nword.", "a b, c. d.\nE f, g", "a b.\nC, d. e,.", "end.\n", "a,.\nB"])
+@pytest.mark.parametrize("text", ["a  b", "a   b", " a ", "it's, it's.\nIt's", "x.\nAnd, y", "a.\n\nB", "<|endoftext|> a", "...", "word.\nword.", "a b, c. d.\nE f, g", "x ab##, c*.\nd!! e's f.'s", "a b.\nC, d. e,.", "end.\n", "a,.\nB"])
 def test_chunked_ids_of_edge_texts(enc, text):
     assert enc.ids(text).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
