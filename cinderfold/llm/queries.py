@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from cinderfold.llm.language_id import op2_language_id
 from cinderfold.llm.media import op9_media_columns
+from cinderfold.llm.mixing import OP3_SQL, op3_mixing
 from cinderfold.llm.packing import op8_best_fit_packing
 from cinderfold.llm.token_output import op1_token_output
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_language_id, op8_best_fit_packing, op9_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_language_id, op3_mixing, op8_best_fit_packing, op9_media_columns)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op3_mixing": OP3_SQL}
