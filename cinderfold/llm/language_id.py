@@ -198,6 +198,22 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
 
 
+def in_known_languages(docs: DataFrame, model: LanguageModel, most_bits: float = 8.0) -> DataFrame:
+    """docs' rows that are in one of the languages, with all their columns.
+
+    Rejected are texts that are null or have no letters, and texts that no language's code makes shorter than most_bits a
+    byte: as they stand, 8 bits, so such a text is no more like any language than random bytes are.
+    """
+    frozen = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = predict_bytes(frozen.value, [t.as_buffer().to_pybytes() if t.is_valid else None for t in batch.column("text")])
+            yield batch.filter(pa.array([lang != UNKNOWN and bits < most_bits for lang, _, bits in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the labelled rows that aren't held out."""
     docs = load(spark, sf_dir, "documents")
