@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,11 +83,24 @@ def alphabetic(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)), F.lower)
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once a row, however often body names it, inner functions included."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def runs(tokens: Column, k: int) -> Column:
+    """All runs of k tokens, space-joined, in order; none below k tokens."""
+
+    def of(t: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, k), " "))
+        return F.when(F.size(t) >= k, every).otherwise(F.array().cast("array<string>"))
+
+    return bind(tokens, of)
+
+
 def shingles(tokens: Column, k: int = 4) -> Column:
-    """The set of runs of k tokens, space-joined; empty below k tokens."""
-    n = F.size(tokens)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, k), " "))
-    return F.when(n >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    """The set of runs of k tokens."""
+    return F.array_distinct(runs(tokens, k))
 
 
 def est_tokens(chars: Column) -> Column:

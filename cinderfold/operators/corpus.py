@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderfold.functions.text import alphabetic, content_hash, hash_bucket, is_validation, shingles, words
+from cinderfold.functions.text import NOT_SPACE, alphabetic, content_hash, hash_bucket, is_validation, runs, shingles, words
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -79,16 +79,12 @@ def contains_any(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
     Items of four words or more are looked up by their second and third word, which stand whole in any text that holds
     the item; so the join is by key and only its hits are compared. Shorter items are compared with every text.
     """
-    pair = lambda ws, i: F.concat_ws(" ", F.get(ws, i), F.get(ws, i + 1))
-    from cinderfold.functions.text import NOT_SPACE
-
     cut = lambda c: F.regexp_extract_all(c, F.lit(f"{NOT_SPACE}+"), F.lit(0))
     own = items.where(F.col(text).isNotNull()).select(F.col(item_id), F.col(text).alias("_item"), cut(F.col(text)).alias("_w"))
-    long = own.where(F.size("_w") >= 4).select(item_id, "_item", pair(F.col("_w"), F.lit(1)).alias("_pair"))
+    long = own.where(F.size("_w") >= 4).select(item_id, "_item", F.array_join(F.slice("_w", 2, 2), " ").alias("_pair"))
     texts = docs.where(F.col(text).isNotNull()).select(doc_id, F.col(text).alias("_text"))
-    pairs = texts.select(doc_id, "_text", cut(F.col("_text")).alias("_w"))
-    every = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - 2, F.lit(0))), lambda i: pair(F.col("_w"), i)))
-    keys = pairs.select(doc_id, F.explode(every).alias("_pair")).join(long, "_pair").select(doc_id, item_id, "_item")
+    pairs = texts.select(doc_id, F.explode(F.array_distinct(runs(cut(F.col("_text")), 2))).alias("_pair"))
+    keys = pairs.join(long, "_pair").select(doc_id, item_id, "_item")
     hits = keys.join(texts, doc_id).where(F.contains("_text", "_item")).select(doc_id, item_id)
     short = own.where((F.size("_w") < 4) & (F.length("_item") > 0)).select(item_id, "_item")
     return hits.unionByName(texts.join(short, F.contains("_text", "_item")).select(doc_id, item_id)).distinct()

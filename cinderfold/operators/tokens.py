@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderfold.functions.text import words
+from cinderfold.functions.text import bind, words
 
 IGNORE = -1
 #: Ordinals of so many consecutive values share a bucket of the running token count.
@@ -20,8 +20,12 @@ def word_lengths(text: Column) -> Column:
 def chunks(tokens: Column, size: int = 1024, overlap: int = 64) -> Column:
     """Overlapping slices; the last one reaches the end, and a short text is one."""
     stride = size - overlap
-    last = F.greatest(F.size(tokens) - size, F.lit(0)) + stride - 1
-    return F.transform(F.sequence(F.lit(0), (F.floor(last / stride) * stride).cast("int"), F.lit(stride)), lambda i: F.slice(tokens, i + 1, size))
+
+    def of(t: Column) -> Column:
+        last = F.greatest(F.size(t) - size, F.lit(0)) + stride - 1
+        return F.transform(F.sequence(F.lit(0), (F.floor(last / stride) * stride).cast("int"), F.lit(stride)), lambda i: F.slice(t, i + 1, size))
+
+    return bind(tokens, of)
 
 
 def padded(df: DataFrame, tokens: str, batch: str, pad: int, left: bool = False) -> DataFrame:
@@ -75,10 +79,13 @@ def batches(df: DataFrame, order: str, size: int, drop_last: bool) -> DataFrame:
 
 def windows(tokens: Column, context: int) -> Column:
     """(x, y) of consecutive chunks of at most context tokens; chunks below 2 tokens are left out."""
-    starts = F.when(F.size(tokens) >= 2, F.sequence(F.lit(0), F.greatest(F.size(tokens) - 2, F.lit(0)), F.lit(context))).otherwise(F.array().cast("array<int>"))
-    cut = F.transform(starts, lambda i: F.slice(tokens, i + 1, context))
-    cut = F.filter(cut, lambda c: F.size(c) >= 2)
-    return F.transform(cut, lambda c: F.struct(F.slice(c, 1, F.size(c) - 1).alias("x"), F.slice(c, 2, F.size(c) - 1).alias("y")))
+
+    def of(t: Column) -> Column:
+        starts = F.when(F.size(t) >= 2, F.sequence(F.lit(0), F.greatest(F.size(t) - 2, F.lit(0)), F.lit(context))).otherwise(F.array().cast("array<int>"))
+        cut = F.filter(F.transform(starts, lambda i: F.slice(t, i + 1, context)), lambda c: F.size(c) >= 2)
+        return F.transform(cut, lambda c: F.struct(F.slice(c, 1, F.size(c) - 1).alias("x"), F.slice(c, 2, F.size(c) - 1).alias("y")))
+
+    return bind(tokens, of)
 
 
 def last_tokens(tokens: Column, context: int) -> Column:
