@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cinderfold.functions import model, text
 from cinderfold.operators import corpus, evaluation, gate, scanner, tokens
-from cinderfold.sources import paged
+from cinderfold.sources import curated, paged
 from cinderfold.sources.files import cyclic, select_sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -437,3 +437,21 @@ def baseline_verdict(spark, sf_dir):
 @query("SELECT conv_id, turn, reply FROM (SELECT conv_id, turn, CASE WHEN starts_with(text, substr(text, 1, 5)) THEN regexp_replace(substr(text, 6), '\\A\\s+|\\s+\\z', '', 'g') END AS reply FROM conversations)")
 def prompt_strip(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.strip_prompt(F.col("text"), F.substring("text", 1, 5)).alias("reply"))
+
+
+# Built-in records
+
+
+@query("SELECT id, CAST(count(*) AS BIGINT) AS n FROM (SELECT " + "[" + ", ".join(f"'{w[0]}'" for w in curated.WEAKNESSES) + "][i % 15 + 1] AS id FROM range(5000) r(i)) GROUP BY id")
+def curated_weaknesses(spark, sf_dir):
+    return curated.weaknesses(spark).groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT id, CAST(count(*) AS BIGINT) AS n FROM (SELECT " + "[" + ", ".join(f"'{w[0]}'" for w in curated.RISKS) + "][i % 10 + 1] AS id FROM range(2000) r(i)) GROUP BY id")
+def curated_risks(spark, sf_dir):
+    return curated.risks(spark).groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 't-' || i AS id, CASE WHEN i % 2 = 0 THEN 'pattern ' || i ELSE 'another pattern' END AS text FROM range(200) r(i)")
+def template_fallback(spark, sf_dir):
+    return curated.from_templates(spark, ["pattern {n}", "another pattern"], 200, "t-", "made").select("id", "text")
