@@ -1,14 +1,15 @@
 """Sum-of-squares packing of documents into training sequences.
 
 An item goes where the sum, over all gaps, of the squared number of open sequences with that gap becomes least; a new
-sequence competes on the same terms. Shards of bounded size are packed side by side in random order. Only sequences left
-open are opened again: their items, longest first, are packed anew, first within the shard and then with those of 64
-shards at a time until one shard is left. Closed sequences are exactly full and never move.
+sequence competes on the same terms. Shards of bounded size are packed side by side in random order, the shortest items
+last. Only sequences left open are opened again: their items are packed anew, by best fit within the shard and then with
+those of 64 shards at a time until one shard is left. Closed sequences are exactly full and never move.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ from cinderfold.llm.encoding import encoder
 CAPACITY = 2048
 SHARD_ITEMS = 1 << 16
 FAN_IN = 64
+LATE_SHARE = 0.2
 _SHUT_OUT = 1 << 60
 
 
@@ -54,12 +56,36 @@ def sum_of_squares(sizes: list[int], capacity: int) -> tuple[list[list[int]], li
     return full, [s for of_gap in held for s in of_gap]
 
 
+def best_fit(sizes: list[int], capacity: int) -> tuple[list[list[int]], list[list[int]]]:
+    """As sum_of_squares(), for few items: each, longest first, goes to the least gap that holds it."""
+    gaps: list[tuple[int, int]] = []
+    held: list[list[int]] = []
+    for item in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        at = bisect_left(gaps, (sizes[item], 0))
+        if at == len(gaps):
+            held.append([item])
+            gap, sequence = capacity, len(held) - 1
+        else:
+            gap, sequence = gaps.pop(at)
+            held[sequence].append(item)
+        if gap > sizes[item]:
+            insort(gaps, (gap - sizes[item], sequence))
+    still = {sequence for _, sequence in gaps}
+    return [s for i, s in enumerate(held) if i not in still], [s for i, s in enumerate(held) if i in still]
+
+
 def pack_shard(sizes: np.ndarray, order: np.ndarray, capacity: int) -> tuple[list[list[int]], list[list[int]]]:
-    """Full and open sequences of one shard: in the given order, then what stayed open longest first if that saves any."""
+    """Full and open sequences of one shard, by the sum of squares in the given order, the shortest fifth kept for the end.
+
+    What is left open then is taken apart and packed by best fit, if that needs no more sequences.
+    """
+    short = np.quantile(sizes, LATE_SHARE)
+    late = order[sizes[order] <= short]
+    order = np.concatenate([order[sizes[order] > short], late[np.argsort(-sizes[late], kind="stable")]])
     full, left = sum_of_squares(sizes[order].tolist(), capacity)
     full, left = [[order[i] for i in s] for s in full], [[order[i] for i in s] for s in left]
-    again = sorted((i for s in left for i in s), key=lambda i: (-sizes[i], i))
-    more, rest = sum_of_squares([int(sizes[i]) for i in again], capacity)
+    again = sorted(i for s in left for i in s)
+    more, rest = best_fit([int(sizes[i]) for i in again], capacity)
     if len(more) + len(rest) <= len(left):
         full, left = full + [[again[i] for i in s] for s in more], [[again[i] for i in s] for s in rest]
     return full, left
@@ -73,26 +99,26 @@ def _mixed(numbers: np.ndarray) -> np.ndarray:
 def pack(items: DataFrame, capacity: int = CAPACITY, length: str = "length", shard_items: int = SHARD_ITEMS) -> DataFrame:
     """items with sequence_id and offset: rows with one sequence_id stand gapless from offset 0 and total capacity at most.
 
-    Lengths are 1 to capacity. Each task holds the numbers of shard_items rows, however many rows there are or repeat
+    Lengths are 1 to capacity; a row with another or none has null sequence_id and offset. Each task holds the numbers of shard_items rows, however many rows there are or repeat
     one another. Columns of items named sequence_id or offset are replaced.
     """
     columns = [c for c in items.columns if c not in ("sequence_id", "offset")]
     keyed = written(items.select(*columns, F.monotonically_increasing_id().alias("_item"), F.col(length).cast("int").alias("_size")), "items")
     whole = keyed.where(F.col("_size") == capacity).select(*columns, F.col("_item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    parts = [whole]
-    todo = keyed.where(F.col("_size") < capacity)
+    none = F.lit(None).cast("long")
+    odd = keyed.where(F.col("_size").isNull() | ~F.col("_size").between(1, capacity)).select(*columns, none.alias("sequence_id"), none.alias("offset"))
+    parts = [whole, odd]
+    todo = keyed.where(F.col("_size").between(1, capacity - 1))
     shards = max(1, -(-todo.count() // shard_items))
     level = 1
     while True:
-        schema = [*todo.schema.fields]
-        out_schema = "sequence_id long, offset long, _open boolean"
-        placed = _placed(todo.repartition(shards, "_item"), capacity, level, out_schema)
+        placed = _placed(todo.repartition(shards, "_item"), capacity, level)
         if shards == 1:
             parts.append(placed.select(*columns, "sequence_id", "offset"))
             break
         placed = written(placed, "placed")
         parts.append(placed.where(~F.col("_open")).select(*columns, "sequence_id", "offset"))
-        todo = placed.where("_open").select(*[f.name for f in schema])
+        todo = placed.where("_open").select(*todo.columns)
         shards, level = max(1, -(-shards // FAN_IN)), level + 1
     out = parts[0]
     for p in parts[1:]:
@@ -100,11 +126,14 @@ def pack(items: DataFrame, capacity: int = CAPACITY, length: str = "length", sha
     return out
 
 
-def _placed(shards: DataFrame, capacity: int, level: int, added: str) -> DataFrame:
+def _placed(shards: DataFrame, capacity: int, level: int) -> DataFrame:
+    """Each partition packed on its own: rows with sequence_id, offset and whether their sequence is open (_open)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
             return
+        table = pa.Table.from_batches(held)
         sizes = table.column("_size").to_numpy()
         order = np.argsort(_mixed(table.column("_item").to_numpy()), kind="stable")
         full, left = pack_shard(sizes, order, capacity)
@@ -119,7 +148,7 @@ def _placed(shards: DataFrame, capacity: int, level: int, added: str) -> DataFra
         yield from out.combine_chunks().to_batches()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shards.schema.fields)
-    return shards.mapInArrow(run, f"{fields}, {added}")
+    return shards.mapInArrow(run, f"{fields}, sequence_id long, offset long, _open boolean")
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
