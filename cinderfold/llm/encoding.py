@@ -18,7 +18,7 @@ _WORDS = re.compile(f"([{_LETTERS}]+)([{_MARKS}]+)(?:(\n)([{_LETTERS}]+)([{_MARK
 #: White space other than space and newline.
 _RARE_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
-KEPT_CHUNKS = 500_000
+KEPT_CHUNKS = 300_000
 
 
 class _Chunks(dict):
