@@ -143,23 +143,23 @@ def _held_out(doc_id: str = "doc_id") -> F.Column:
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, order: int = ORDER) -> LanguageModel:
     """Fit on at most sample_rows whole texts of each language, those least by a hash of doc_id.
 
-    Rows with null lang or text and held-out rows (crc32 of doc_id as text, mod 5, is 0) are never learned from. The
-    sample, sample_rows a language, is all that reaches the driver.
+    Rows with null lang or text and held-out rows (crc32 of doc_id as text, mod 5, is 0) are never learned from. Repeated
+    doc_ids count once, with their least text. A count a language and the sample are all that reaches the driver.
     """
+    eligible = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_held_out()).select("doc_id", F.col("lang").cast("string").alias("lang"))
+    counts = eligible.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()
+    if not counts:
+        return LanguageModel({}, order)
+    # The least hashes of a language lie below a bound that twice the sample's number of its rows is expected to pass.
+    bounds = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(int(min(1.0, 2 * sample_rows / max(r.n, 1)) * 2**64) - 2**63 - 1))])
+    low = eligible.withColumn("h", F.xxhash64("doc_id")).where(F.col("h") <= bounds[F.col("lang")]).distinct()
     least = Window.partitionBy("lang").orderBy("h", "doc_id")
-    picked = (
-        docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_held_out())
-        .select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-        .withColumn("n", F.row_number().over(least))
-        .where(F.col("n") <= sample_rows)
-        .select("doc_id", "lang")
-        .distinct()
-    )
-    rows = docs.select("doc_id", "lang", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), ["doc_id", "lang"])
+    picked = low.withColumn("n", F.row_number().over(least)).where(F.col("n") <= sample_rows).select("doc_id", "lang")
+    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("d"), F.col("lang").cast("string").alias("l"), "text")
+    rows = texts.join(F.broadcast(picked), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("l") == F.col("lang")))
     samples: dict[str, list[bytes]] = {}
-    for r in sorted(rows.select("lang", "text").collect()):
-        if len(held := samples.setdefault(str(r.lang), [])) < sample_rows:
-            held.append(r.text.encode())
+    for r in rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).orderBy("lang", "doc_id").collect():
+        samples.setdefault(r.lang, []).append(r.text.encode())
     return LanguageModel(samples, order)
 
 
