@@ -213,10 +213,10 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, query_every: int = QUERY_EV
     same = Window.partitionBy("a1", "a2").orderBy("vec_id")
     kept = written(rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n"), "vectors")
     asked = rows.where(F.col("vec_id") % query_every == 0)
-    asked_once = asked.groupBy("a1", "a2").agg(F.min("vec_id").alias("q"), F.min_by("x", "vec_id").alias("x"))
+    asked_once = written(asked.groupBy("a1", "a2").agg(F.min("vec_id").alias("q"), F.min_by("x", "vec_id").alias("x")), "queries")
     first = kept.limit(1).collect()
     width = len(first[0].x) if first else 1
-    sample = kept.orderBy("a1", "vec_id").limit(max(1, min(SAMPLE_ROWS, SAMPLE_VALUES // width))).select("x").toArrow()
+    sample = _least(kept, kept.count(), max(1, min(SAMPLE_ROWS, SAMPLE_VALUES // width)), "vec_id")
     tree = fit_tree(_matrix(sample.column("x")) if sample.num_rows else np.zeros((0, width)), leaf_rows=leaf_rows)
     frozen = spark.sparkContext.broadcast(tree)
 
@@ -227,7 +227,7 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, query_every: int = QUERY_EV
 
     kind = dict(kept.dtypes)["x"]
     candidates = written(kept.select("vec_id", "x").mapInArrow(deal, f"vec_id long, x {kind}, leaf long"), "leaves")
-    trial = asked_once.orderBy("a1", "a2").limit(CALIBRATION_QUERIES).select("x").toArrow()
+    trial = _least(asked_once, asked_once.count(), CALIBRATION_QUERIES, "q")
     visits, _ = calibrate(tree, candidates, _matrix(trial.column("x")), k + 1, recall) if trial.num_rows else (1, 1.0)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,6 +256,16 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, query_every: int = QUERY_EV
     )
 
 
+def _least(vectors: DataFrame, n: int, rows: int, ident: str) -> pa.Table:
+    """x of the `rows` vectors with the least a1; only about twice as many of the n ever leave their tasks."""
+    for share in (min(1.0, 2 * rows / max(n, 1)), 1.0):
+        bound = int(share * 2**64) - 2**63 - 1
+        found = vectors.where(F.col("a1") <= bound).orderBy("a1", ident).limit(rows).select("x").toArrow()
+        if share == 1.0 or found.num_rows == rows:
+            break
+    return found
+
+
 def _lookup(parts: dict[int, int]) -> F.Column:
     """Number of blocks of the row's leaf; one entry a leaf that needs more than one."""
     many = {leaf: n for leaf, n in parts.items() if n > 1}
