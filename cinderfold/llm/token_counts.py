@@ -9,7 +9,7 @@ over its words. Nothing is shuffled: each worker grows its own trie, of bounded
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import log
+from math import inf, log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +21,7 @@ SPACE = "▁"
 #: Added to the least score for a character that no piece holds, as the usual unigram encoders do.
 UNKNOWN_PENALTY = 10.0
 #: A trie that has grown to so many nodes is given up for a new one.
-MOST_NODES = 400_000
+MOST_NODES = 500_000
 _SHIFT = 2.7  # of Zipf's law for ranks; no two pieces' product is a third's probability, so counts have no ties
 
 
@@ -45,7 +45,8 @@ class TrieCounts(dict):
     def __init__(self, scores: dict[str, float], most_nodes: int = MOST_NODES):
         super().__init__()
         self.scores, self.most_nodes = scores, most_nodes
-        self.longest = max(map(len, scores), default=1)
+        #: Every tail of a piece, with its score if it is a piece itself: no piece ends where a tail is missing.
+        self.tails = {piece[i:]: scores.get(piece[i:], -inf) for piece in scores for i in range(len(piece))}
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
         self._plant()
 
@@ -58,19 +59,23 @@ class TrieCounts(dict):
         if len(self.best) >= self.most_nodes or len(self) >= self.most_nodes:
             self._plant()
         text, node, path = SPACE + word, 0, [0]
-        child, best, pieces, scores = self.child, self.best, self.pieces, self.scores
+        child, best, pieces, tails = self.child, self.best, self.pieces, self.tails
         for end, c in enumerate(text, 1):
-            node = child.get((node, c), -1)
+            last = node
+            node = child.get((last, c), -1)
             if node < 0:
                 node = len(best)
-                child[path[-1], c] = node
-                score, count = None, 0
-                for start in range(max(0, end - self.longest), end):
-                    own = scores.get(text[start:end])
-                    if own is not None and (score is None or best[path[start]] + own > score):
-                        score, count = best[path[start]] + own, pieces[path[start]] + 1
-                if c not in scores and (score is None or best[path[-1]] + self.unknown > score):
-                    score, count = best[path[-1]] + self.unknown, pieces[path[-1]] + len(c.encode())
+                child[last, c] = node
+                score, count = -inf, 0
+                for start in range(end - 1, -1, -1):
+                    own = tails.get(text[start:end])
+                    if own is None:
+                        break
+                    own += best[path[start]]
+                    if own > score:
+                        score, count = own, pieces[path[start]] + 1
+                if c not in self.scores and best[last] + self.unknown > score:
+                    score, count = best[last] + self.unknown, pieces[last] + len(c.encode())
                 best.append(score)
                 pieces.append(count)
             path.append(node)
