@@ -32,6 +32,9 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_LEFT: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; what is left there goes when the driver's process ends in good order."""
     path = f"{shared_dir(spark)}/cinderfold-{name}-{uuid.uuid4().hex}"
@@ -41,13 +44,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-_LEFT: set[str] = set()
-
-
 def _remove_left(spark: SparkSession) -> None:
     if spark.sparkContext._jsc is not None:
         for path in _LEFT:
             remove(spark, path)
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Cut lineage: write to the shared folder, read back. Survives the loss of any executor."""
     spark = df.sparkSession
