@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderfold.llm.common import load, row_key, written
@@ -34,6 +34,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _PLACE_BITS = 24
 _SEGMENT = 1 << 23
 _FLUSH = 8 << 20
+_ROWS = 512
+_COLUMNS = 39
+#: Grams with more kinds of surroundings than one task holds (about 3 KB each) are split by window.
+GROUP_ROWS = 1 << 15
 
 
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
@@ -120,12 +124,12 @@ def _surroundings(length: int):
         for batch in batches:
             for k1, k2, packed, todo in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("packed"), batch.column("todo").to_pylist(), strict=True):
                 raw = unpack.decompress(packed.as_buffer().to_pybytes())
-                yield pa.RecordBatch.from_pydict({"g": [t["g"] for t in todo], "c": [t["c"] for t in todo], "k1": [k1] * len(todo), "k2": [k2] * len(todo), "at": [t["at"] for t in todo], "around": [raw[max(0, t["at"] - side) : t["at"] + length] for t in todo]}, schema=_AROUND)
+                yield pa.RecordBatch.from_pydict({"g": [t["g"] for t in todo], "c": [t["c"] for t in todo], "k1": [k1] * len(todo), "k2": [k2] * len(todo), "at": [t["at"] for t in todo], "around": [raw[max(0, t["at"] - side) : t["at"] + length] for t in todo], "kinds": [t["kinds"] for t in todo]}, schema=_AROUND)
 
     return _in_large_batches(run)
 
 
-_AROUND = pa.schema([*_ANCHORS, ("around", pa.binary())])
+_AROUND = pa.schema([*_ANCHORS, ("around", pa.binary()), ("kinds", pa.int64())])
 
 
 def neighbours(order: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,6 +145,32 @@ def neighbours(order: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndar
     return earlier, later
 
 
+def window_hashes(around: list[bytes], left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the window at each start (column) of each surroundings (row), and whether there is one.
+
+    Hashes of one column compare with each other only.
+
+    The anchor is at place left of its surroundings; columns count from as far left as a window can start.
+    """
+    side = length - GRAM
+    width = side + length
+    windows, real = np.zeros((len(around), side + 1), np.uint64), np.zeros((len(around), side + 1), bool)
+    starts = np.arange(side + 1)
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(width, _BASE | np.uint64(1)))
+        for a in range(0, len(around), _ROWS):
+            own, at = around[a : a + _ROWS], left[a : a + _ROWS]
+            sizes = np.array([len(x) for x in own])
+            text = np.zeros((len(own), width), np.uint64)
+            flat = np.frombuffer(b"".join(own), np.uint8)
+            column = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(side - at, sizes)
+            text[np.repeat(np.arange(len(own)), sizes), column] = (flat.astype(np.uint64) + np.uint64(1)) * powers[column]
+            sums = np.concatenate([np.zeros((len(own), 1), np.uint64), np.cumsum(text, axis=1, dtype=np.uint64)], axis=1)
+            windows[a : a + _ROWS] = sums[:, length:] - sums[:, : side + 1]
+            real[a : a + _ROWS] = (starts >= (side - at)[:, None]) & (starts + length <= (side - at + sizes)[:, None])
+    return windows, real
+
+
 def covered(around: list[bytes], left: np.ndarray, length: int, keep: str) -> tuple[np.ndarray, np.ndarray]:
     """Bounds, from the anchor on, of what each of a group's surroundings has covered; bounds are equal if nothing is.
 
@@ -148,30 +178,21 @@ def covered(around: list[bytes], left: np.ndarray, length: int, keep: str) -> tu
     stretch.
     """
     side, m = length - GRAM, len(around)
-    width = side + length
-    sizes = np.array([len(a) for a in around])
-    text = np.zeros((m, width), np.uint64)
-    flat = np.frombuffer(b"".join(around), np.uint8)
-    row = np.repeat(np.arange(m), sizes)
-    column = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(side - left, sizes)
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(width, _BASE | np.uint64(1)))
-        text[row, column] = (flat.astype(np.uint64) + np.uint64(1)) * powers[column]
-        sums = np.concatenate([np.zeros((m, 1), np.uint64), np.cumsum(text, axis=1, dtype=np.uint64)], axis=1)
-        windows = sums[:, length:] - sums[:, : width - length + 1]
-    starts = np.arange(windows.shape[1])
-    real = (starts >= (side - left)[:, None]) & (starts + length <= (side - left + sizes)[:, None])
-    windows[~real] = 0
-    order = np.argsort(windows, axis=0, kind="stable")
-    ranked, known = np.take_along_axis(windows, order, 0), np.take_along_axis(real, order, 0)
-    same = np.zeros(order.shape, bool)
-    same[1:] = (ranked[1:] == ranked[:-1]) & known[1:] & known[:-1]
-    earlier, later = neighbours(order, same)
-    hit = earlier if keep == "first" else earlier | later
-    some = hit.any(1)
-    first = hit.argmax(1)
-    last = hit.shape[1] - 1 - hit[:, ::-1].argmax(1)
-    return np.where(some, first - side, 0), np.where(some, last + length - side, 0)
+    windows, real = window_hashes(around, left, length)
+    first, last = np.full(m, side + 1), np.full(m, -1)
+    for a in range(0, side + 1, _COLUMNS):
+        own, there = windows[:, a : a + _COLUMNS], real[:, a : a + _COLUMNS]
+        own[~there] = 0
+        order = np.argsort(own, axis=0, kind="stable")
+        ranked, known = np.take_along_axis(own, order, 0), np.take_along_axis(there, order, 0)
+        same = np.zeros(order.shape, bool)
+        same[1:] = (ranked[1:] == ranked[:-1]) & known[1:] & known[:-1]
+        earlier, later = neighbours(order, same)
+        hit = earlier if keep == "first" else earlier | later
+        some = np.flatnonzero(hit.any(1))
+        first[some] = np.minimum(first[some], a + hit[some].argmax(1))
+        last[some] = a + hit.shape[1] - 1 - hit[some][:, ::-1].argmax(1)
+    return np.where(last >= 0, first - side, 0), np.where(last >= 0, last + length - side, 0)
 
 
 _COVER = pa.schema([("g", pa.int64()), ("c", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
@@ -207,6 +228,38 @@ def _groups(length: int, keep: str):
     return _in_large_batches(run)
 
 
+def _windows(length: int):
+    """One row a window of surroundings: g, c, start (column), w (hash), with the position that orders copies."""
+    schema = pa.schema([("g", pa.int64()), ("c", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int64()), ("start", pa.int64()), ("w", pa.int64())])
+    side = length - GRAM
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(a, _ROWS)
+                windows, real = window_hashes(part.column("around").to_pylist(), np.minimum(part.column("at").to_numpy(), side), length)
+                row, start = np.nonzero(real)
+                own = part.select(["g", "c", "k1", "k2", "at"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(start), pa.array(windows[row, start].view(np.int64))], schema=schema)
+
+    return run
+
+
+def _crowded(around: DataFrame, length: int, keep: str) -> DataFrame:
+    """As _groups(), for grams with more surroundings than one task should hold: each window is a key of its own.
+
+    Copies of a window are counted before the shuffle, so a passage in a third of all documents is as light as any.
+    """
+    side = length - GRAM
+    windows = around.mapInArrow(_windows(length), "g long, c long, k1 long, k2 long, at long, start long, w long")
+    place = F.struct("k1", "k2", "at")
+    twins = windows.groupBy("g", "start", "w").agg(F.min(F.struct(place, "c")).alias("first"), F.max(F.struct(place, "c")).alias("last")).where(F.col("first.c") != F.col("last.c"))
+    hit = windows.join(twins, ["g", "start", "w"])
+    if keep == "first":
+        hit = hit.where(F.col("first.c") != F.col("c"))
+    return hit.groupBy("g", "c").agg((F.min("start") - side).alias("lo"), (F.max("start") + length - side).alias("hi"))
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
@@ -216,7 +269,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), texts], ["doc_id", "k1", "k2", "packed"])
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", group_rows: int = GROUP_ROWS) -> DataFrame:
     """k1, k2 (row key), lo, hi: stretches of bytes to remove, which may overlap; hi may be past the text's end.
 
     keep: "none" for every copy, "first" to leave the copy with the least row key and place. Rows equal in doc_id and
@@ -228,12 +281,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none") ->
     side = length - GRAM
     found = texts.select("k1", "k2", "text").mapInArrow(_anchor_rows(length), "g long, c long, k1 long, k2 long, at long")
     classes = found.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("m"))
-    classes = classes.withColumn("kinds", F.count("*").over(Window.partitionBy("g"))).where((F.col("kinds") > 1) | (F.col("n") > 1))
+    kinds = classes.groupBy("g").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).where("kinds > 1 or most > 1").select("g", "kinds")
+    classes = classes.join(kinds, "g").where((F.col("kinds") > 1) | (F.col("n") > 1))
     classes = written(classes.select("g", "c", "n", "kinds", "m.*"), "classes")
-    todo = classes.where("kinds > 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("g", "c", "at")).alias("todo"))
+    todo = classes.where("kinds > 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("g", "c", "at", "kinds")).alias("todo"))
     packed = texts.where(F.octet_length("text") >= length).mapInArrow(_packed, "doc_id long, k1 long, k2 long, packed binary").drop("doc_id")
-    around = packed.join(todo, ["k1", "k2"]).mapInArrow(_surroundings(length), "g long, c long, k1 long, k2 long, at long, around binary")
-    mixed = around.repartition("g").sortWithinPartitions("g", "k1", "k2", "at").mapInArrow(_groups(length, keep), "g long, c long, lo long, hi long")
+    around = packed.join(todo, ["k1", "k2"]).mapInArrow(_surroundings(length), "g long, c long, k1 long, k2 long, at long, around binary, kinds long")
+    mixed = around.where(F.col("kinds") <= group_rows).drop("kinds").repartition("g").sortWithinPartitions("g", "k1", "k2", "at").mapInArrow(_groups(length, keep), "g long, c long, lo long, hi long")
+    if classes.where(F.col("kinds") > group_rows).limit(1).count():
+        mixed = mixed.unionByName(_crowded(around.where(F.col("kinds") > group_rows), length, keep))
     whole = classes.where("n > 1").select("g", "c", F.lit(-side).cast("long").alias("lo"), F.lit(length).cast("long").alias("hi"), F.col("k1").alias("m1"), F.col("k2").alias("m2"), F.col("at").alias("m3"))
     none = F.lit(None).cast("long")
     cover = written(whole.unionByName(mixed.select("g", "c", "lo", "hi", none.alias("m1"), none.alias("m2"), none.alias("m3"))), "cover")
@@ -257,10 +313,10 @@ def merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return [(lo, hi) for lo, hi in out]
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs, array of lo and hi), kept (the remaining bytes) of every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(), F.col("text").cast("string").alias("text"))
-    spans = repeated_spans(docs, length, keep).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = repeated_spans(docs, length, keep, group_rows).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     rows = texts.mapInArrow(_packed, "doc_id long, k1 long, k2 long, packed binary").join(spans, ["k1", "k2"], "left")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), ("kept", pa.binary())])
 

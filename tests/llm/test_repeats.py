@@ -57,13 +57,13 @@ def test_equal_windows_have_equal_anchors(monkeypatch):
 SCHEMA = "doc_id long, text string, k1 string, spans string, kept string, n_bytes string, g int"
 
 
-@pytest.mark.parametrize(("seed", "keep"), [(1, "none"), (2, "none"), (3, "first")])
-def test_same_as_by_dictionary(spark, seed, keep):
+@pytest.mark.parametrize(("seed", "keep", "group_rows"), [(1, "none", 32768), (2, "none", 3), (3, "first", 32768), (4, "first", 2)])
+def test_same_as_by_dictionary(spark, seed, keep, group_rows):
     texts = corpus(seed)
     docs = spark.createDataFrame([(i, t, "", "", "", "", 0) for i, t in enumerate(texts)], SCHEMA)
     raws = [t.encode() for t in texts]
     expected = plain(raws, 200, keep)
-    got = without_repeats(docs, 200, keep).collect()
+    got = without_repeats(docs, 200, keep, group_rows).collect()
     assert len(got) == len(texts)
     for r in got:
         runs = [(s.lo, s.hi) for s in r.spans]
