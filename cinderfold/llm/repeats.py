@@ -71,7 +71,9 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
         least = least[np.append(True, least[1:] != least[:-1])]
         places.append(least + at)
         hashes.append(h[least])
-    return np.concatenate(places), np.concatenate(hashes)
+    at, g = np.concatenate(places), np.concatenate(hashes)
+    new = np.append(True, at[1:] != at[:-1])  # windows on both sides of a border mostly share an anchor
+    return at[new], g[new]
 
 
 _ANCHORS = pa.schema([("g", pa.int64()), ("c", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int64())])

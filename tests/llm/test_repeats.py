@@ -96,3 +96,25 @@ def test_documents(spark):
         ends = [0, *(x for run in expected[i] for x in run), len(raws[i])]
         kept = b"".join(raws[i][a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(raws[i]), len(raws[i]) - len(kept), len(expected[i]), hashlib.sha256(kept).hexdigest())
+
+
+@pytest.mark.parametrize("segment", [1, 7, 301, 1000])
+def test_an_anchor_on_a_border_of_segments_is_one(monkeypatch, segment):
+    data = np.random.default_rng(3).integers(97, 100, 3000).astype(np.uint8)
+    at, g = anchors(data, 200)
+    monkeypatch.setattr(repeats, "_SEGMENT", segment)
+    again = anchors(data, 200)
+    assert again[0].tolist() == at.tolist() and again[1].tolist() == g.tolist()
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_long_texts(spark, keep):
+    rng = np.random.default_rng(4)
+    n = 2 * repeats._SEGMENT + 5000
+    long = rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    at = repeats._SEGMENT - 300
+    other = "-" * 50 + long[at : at + 700] + "-" * 50
+    docs = spark.createDataFrame([(1, long, "", "", "", "", 0), (2, other, "", "", "", "", 0)], SCHEMA)
+    got = {r.doc_id: ([(s.lo, s.hi) for s in r.spans], bytes(r.kept)) for r in without_repeats(docs, keep=keep).collect()}
+    assert got[1] == (([(at, at + 700)], (long[:at] + long[at + 700 :]).encode()) if keep == "none" else ([], long.encode()))
+    assert got[2] == ([(50, 750)], b"-" * 100)
