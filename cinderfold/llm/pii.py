@@ -42,7 +42,8 @@ _NUMBER = re.compile(
     re.VERBOSE,
 )
 _PHONE_START = re.compile(r"\+[0-9]")
-_SECRET_WORDS = ("token", "secret", "password", "passwd", "key", "AKIA", "ghp_", "sk-")
+#: One of these, in lower case, is in every match of _SECRET.
+_SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "key", "akia", "ghp_", "sk-")
 _SECRET = re.compile(r"""(?i:\b(?:token|secret|password|passwd|pwd|(?:api|access|private|secret)[_ -]?key)["']?\s*[=:]\s*["']?)(?P<value>[\w+/=.~-]{6,})|\b(?P<known>AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,})""")
 #: Titles and what they say of gender. Fixed values.
 TITLES = {"Mr": "m", "Sir": "m", "Herr": "m", "Señor": "m", "Sr": "m", "Monsieur": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Señora": "f", "Sra": "f", "Madame": "f", "Mme": "f", "Dr": "", "Prof": ""}
@@ -226,8 +227,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     found: list[tuple[int, int, str, str]] = []
     if "@" in text:
         found += [(m.start(), m.end(), "email", "") for m in _EMAIL.finditer(text)]
-    low = text.lower() if not text.islower() else text
-    if any(w.lower() in low for w in _SECRET_WORDS):
+    low = text.lower().replace("ſ", "s")  # as the pattern ignores case
+    if any(w in low for w in _SECRET_WORDS):
         found += [(m.start(k), m.end(k), "secret", "") for m in _SECRET.finditer(text) for k in ("value", "known") if m[k]]
     if _ANY_DIGITS.search(text):
         for m in _NUMBER.finditer(text):
