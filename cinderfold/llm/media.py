@@ -198,13 +198,24 @@ def feature(track: Track) -> str:
 
 
 def media_columns(df: DataFrame, content: str = "content") -> DataFrame:
-    """df's columns with a struct `media`: codec, handler, timescale, duration, seconds, n_samples, keyframes, error.
+    """df's columns with a struct `media`: codec, handler, timescale, duration, seconds, n_samples, keyframes, error, tracks.
 
-    Of the first track; df's other columns pass untouched (a column of df named media is replaced). Null content: null
-    media. Bytes that aren't a container: error says why, the rest is null. Payload bytes are never decoded.
+    tracks has the same facts (codec to keyframes) of every track, the other fields those of the first; df's other columns
+    pass untouched (a column of df named media is replaced). Null content: null media. Bytes that aren't a container: error
+    says why, the rest is null. Of a container with fragments, which are not decoded, error says so, and what depends on
+    samples is null. Payload bytes are never decoded.
     """
-    kind = pa.struct([("codec", pa.string()), ("handler", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("seconds", pa.float64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))), ("error", pa.string())])
-    said = "struct<codec:string,handler:string,timescale:bigint,duration:bigint,seconds:double,n_samples:bigint,keyframes:array<struct<offset:bigint,size:bigint>>,error:string>"
+    facts_of = [("codec", pa.string()), ("handler", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("seconds", pa.float64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())])))]
+    kind = pa.struct([*facts_of, ("error", pa.string()), ("tracks", pa.list_(pa.struct(facts_of)))])
+    of_track = "codec:string,handler:string,timescale:bigint,duration:bigint,seconds:double,n_samples:bigint,keyframes:array<struct<offset:bigint,size:bigint>>"
+    said = f"struct<{of_track},error:string,tracks:array<struct<{of_track}>>>"
+
+    def of(t: Track, fragments: bool) -> dict:
+        out = {"codec": t.codec, "handler": t.handler, "timescale": t.timescale}
+        if not fragments:
+            keys = [{"offset": a, "size": b} for a, b in t.keyframes().tolist()]
+            out |= {"duration": t.duration, "seconds": t.duration / t.timescale if t.timescale else None, "n_samples": len(t.samples()), "keyframes": keys}
+        return out
 
     @F.arrow_udf(said)
     def facts(column: pa.Array) -> pa.Array:
@@ -215,9 +226,9 @@ def media_columns(df: DataFrame, content: str = "content") -> DataFrame:
                 out.append(None)
                 continue
             try:
-                t = read_media(data)[0]
-                keys = [{"offset": a, "size": b} for a, b in t.keyframes().tolist()]
-                out.append({"codec": t.codec, "handler": t.handler, "timescale": t.timescale, "duration": t.duration, "seconds": t.duration / t.timescale if t.timescale else None, "n_samples": len(t.samples()), "keyframes": keys, "error": None})
+                fragments = any(box == b"moof" for box, _, _ in boxes(data, 0, len(data)))
+                tracks = [of(t, fragments) for t in read_media(data)]
+                out.append({**tracks[0], "error": "fragments (moof) are not decoded" if fragments else None, "tracks": tracks})
             except (BrokenMedia, IndexError) as error:
                 out.append({"error": str(error)})
         return pa.array(out, kind)

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cinderfold.llm.media import BrokenMedia, _box, _full, demux, feature, media_columns, mux, read_media, read_stored, store_texts
+from cinderfold.llm.media import BrokenMedia, _box, _full, boxes, demux, feature, media_columns, mux, read_media, read_stored, store_texts
 
 
 @settings(max_examples=50, deadline=None)
@@ -74,3 +74,18 @@ def test_texts(spark):
 
 def test_empty_table(spark):
     assert read_stored(store_texts(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_media_columns_of_all_tracks_and_of_fragments(spark):
+    one = mux(b"x" * 64 * 40)
+    at, inner = next((body, stop) for kind, body, stop in boxes(one, 0, len(one)) if kind == b"moov")
+    trak = next(one[body - 8 : stop] for kind, body, stop in boxes(one, at, inner) if kind == b"trak")
+    video = trak.replace(b"soun", b"vide").replace(b"raw ", b"avc1")
+    two = one[: at - 8] + one[inner:] + _box(b"moov", one[at:inner], video)
+    rows = [(1, one), (2, two), (3, one + _box(b"moof", _box(b"traf", _full(b"trun", bytes(4))))), (4, b"text")]
+    out = {r.id: r.media for r in media_columns(spark.createDataFrame(rows, "id long, content binary")).collect()}
+    assert [t.codec for t in out[1].tracks] == ["raw "] and out[1].tracks[0].keyframes == out[1].keyframes
+    assert [(t.codec, t.handler, t.n_samples, len(t.keyframes)) for t in out[2].tracks] == [("raw ", "soun", 40, 3), ("avc1", "vide", 40, 3)]
+    assert out[2].codec == "raw " and out[2].error is None
+    assert "moof" in out[3].error and out[3].codec == "raw " and out[3].n_samples is None and out[3].keyframes is None
+    assert out[4].error and out[4].tracks is None
