@@ -3,25 +3,74 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
+from collections.abc import Callable, Hashable, Iterator
+from functools import partial
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: A batch that goes to a Python worker has at most so many bytes, or one row.
+BATCH_BYTES = "4m"
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str, keeps: Hashable = None) -> DataFrame:
+    """df.mapInArrow(run, schema) with bounded memory: batches of BATCH_BYTES unless the session names another size, and
+    workers that keep nothing from task to task but what `held` under the name `keeps`."""
+    spark = df.sparkSession
+    if spark.conf.get(_BATCH_SETTING) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+    return df.mapInArrow(partial(_task, run, keeps), schema)
+
+
+def _task(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: Hashable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for other in [k for k in _HELD if k != keeps]:
+        del _HELD[other]
+    try:
+        yield from run(batches)
+    finally:
+        _give_back()
+
+
+_HELD: dict[Hashable, Any] = {}
+
+
+def held(name: Hashable, make: Callable[[], Any]) -> Any:
+    """What a worker process makes once and keeps for the tasks of one operator; tasks of any other drop it."""
+    if name not in _HELD:
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def _give_back() -> None:
+    """Return freed memory to the system, so that an idle worker is small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Only where that is unset, as in tests on one machine, a folder of our own is set.
+    Only where that is unset and all runs on one machine, as in tests, a folder of our own is set.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir: name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("/tmp/cinderfold-checkpoints")
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -50,10 +99,15 @@ def _remove_left(spark: SparkSession) -> None:
             remove(spark, path)
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Cut lineage: write to the shared folder, read back. Survives the loss of any executor."""
+def written(df: DataFrame, name: str, compression: str = "zstd", narrow: bool = False) -> DataFrame:
+    """Cut lineage: write to the shared folder, read back. Survives the loss of any executor.
+
+    narrow: for tables of a few numbers a row, which two files a core hold with ease; many small files help nobody.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if narrow:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     df.write.option("compression", compression).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.scratch = path

@@ -9,6 +9,8 @@ from array import array
 
 import numpy as np
 
+from cinderfold.llm.common import held
+
 #: Single spaces between two non-space characters always start a new pre-token of byte-level BPE.
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -100,11 +102,6 @@ class Encoder:
         return (self.first[head] if head else b"") + b"".join(map(self.rest.__getitem__, chunks[1:]))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One encoder for each worker process and file, for tasks that keep ("encoder", path)."""
+    return held(("encoder", path), lambda: Encoder(path))

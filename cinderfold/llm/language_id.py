@@ -10,7 +10,6 @@ their windows, vectorised. The language with the shortest code wins.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cinderfold.llm.common import load
+from cinderfold.llm.common import in_batches, load
 
 ORDER = 4
 #: The model is fitted on at most so many labelled rows of each language.
@@ -26,7 +25,7 @@ SAMPLE_ROWS = 400
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -195,31 +194,28 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             columns = [batch.column("doc_id"), batch.column("held_out"), *(pa.array(c, t) for c, t in zip(zip(*got, strict=True), _OUT.types[2:], strict=True))] if got else [pa.array([], t) for t in _OUT.types]
             yield pa.RecordBatch.from_arrays(columns, schema=_OUT)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held_out().alias("held_out"), F.col("text").cast("string").alias("text")).transform(in_batches, run, "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
 
 
 def in_known_languages(docs: DataFrame, model: LanguageModel, most_bits: float = 8.0) -> DataFrame:
-    """docs' rows that are in one of the languages, with all their columns.
+    """docs' rows that are in one of the languages, with all their columns; lang, if there, becomes the language found.
 
     Rejected are texts that are null or have no letters, and texts that no language's code makes shorter than most_bits a
     byte: as they stand, 8 bits, so such a text is no more like any language than random bytes are.
     """
-    frozen = docs.sparkSession.sparkContext.broadcast(model)
+    frozen, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("lang") if "lang" in docs.columns else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = predict_bytes(frozen.value, [t.as_buffer().to_pybytes() if t.is_valid else None for t in batch.column("text")])
+            if at >= 0:
+                batch = batch.set_column(at, batch.schema.field(at), pa.array([lang for lang, _, _ in got], batch.schema.field(at).type))
             yield batch.filter(pa.array([lang != UNKNOWN and bits < most_bits for lang, _, bits in got], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_batches, run, docs.schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the labelled rows that aren't held out."""
     docs = load(spark, sf_dir, "documents")
     return identify(docs, fit(docs))
-
-
-def crc_is_held_out(doc_id: int | None) -> bool:
-    """The rule of the held-out fold, for tests."""
-    return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 5 == 0

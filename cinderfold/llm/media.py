@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderfold.llm.common import load, written
+from cinderfold.llm.common import in_batches, load, written
 
 #: Boxes that hold boxes. Fixed names of ISO/IEC 14496-12.
 CONTAINERS = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"mvex", b"moof", b"traf", b"udta"))
@@ -260,7 +260,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_pylist([dict(zip(_STORED.names, r, strict=True)) for r in rows], _STORED)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(store, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(in_batches, store, "doc_id long, n_bytes long, media binary")
 
 
 def read_stored(stored: DataFrame) -> DataFrame:
@@ -276,7 +276,7 @@ def read_stored(stored: DataFrame) -> DataFrame:
                 rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(track)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _READ.types, strict=True)] if rows else [pa.array([], t) for t in _READ.types], schema=_READ)
 
-    return stored.mapInArrow(read, ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'long'}" for f in _READ))
+    return stored.transform(in_batches, read, ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'long'}" for f in _READ))
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cinderfold.llm.common import load, written
+from cinderfold.llm.common import in_batches, load, written
 
 NEIGHBOURS = 20
 QUERY_EVERY = 20
@@ -173,7 +173,7 @@ def exact(candidates: DataFrame, queries: np.ndarray, k: int) -> DataFrame:
                     found.append((i, np.array([where[b] for b in best.tolist()]), best, scores))
                 yield _best_rows(found)
 
-    return _k_best(candidates.select("vec_id", "x", "leaf").mapInArrow(run, "q long, leaf long, vec_id long, score double"), k)
+    return _k_best(candidates.select("vec_id", "x", "leaf").transform(in_batches, run, "q long, leaf long, vec_id long, score double"), k)
 
 
 def calibrate(tree: Tree, candidates: DataFrame, queries: np.ndarray, k: int, recall: float) -> tuple[int, float]:
@@ -226,7 +226,7 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, query_every: int = QUERY_EV
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("x"), pa.array(leaf)], ["vec_id", "x", "leaf"])
 
     kind = dict(kept.dtypes)["x"]
-    candidates = written(kept.select("vec_id", "x").mapInArrow(deal, f"vec_id long, x {kind}, leaf long"), "leaves")
+    candidates = written(kept.select("vec_id", "x").transform(in_batches, deal, f"vec_id long, x {kind}, leaf long"), "leaves")
     trial = _least(asked_once, asked_once.count(), CALIBRATION_QUERIES, "q")
     visits, _ = calibrate(tree, candidates, _matrix(trial.column("x")), k + 1, recall) if trial.num_rows else (1, 1.0)
 
@@ -236,7 +236,7 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, query_every: int = QUERY_EV
             leaves = [frozen.value.best_first(q, visits) for q in x]
             yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("x"), pa.array(leaves, pa.list_(pa.int64()))], ["q", "x", "leaves"])
 
-    routed = written(asked_once.select("q", "x").mapInArrow(route, f"q long, x {kind}, leaves array<bigint>"), "routed")
+    routed = written(asked_once.select("q", "x").transform(in_batches, route, f"q long, x {kind}, leaves array<bigint>"), "routed")
     routed = routed.select("q", "x", F.explode("leaves").alias("leaf"))
     parts = lambda df: {r.leaf: -(-r["count"] // block_rows) for r in df.groupBy("leaf").count().collect()}
     of_rows, of_queries = parts(candidates), parts(routed.select("leaf"))

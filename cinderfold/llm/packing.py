@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderfold.llm.common import load, written
+from cinderfold.llm.common import in_batches, load, written
 from cinderfold.llm.encoding import encoder
 
 CAPACITY = 2048
@@ -148,7 +148,7 @@ def _placed(shards: DataFrame, capacity: int, level: int) -> DataFrame:
         yield from out.combine_chunks().to_batches()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shards.schema.fields)
-    return shards.mapInArrow(run, f"{fields}, sequence_id long, offset long, _open boolean")
+    return shards.transform(in_batches, run, f"{fields}, sequence_id long, offset long, _open boolean")
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -176,7 +176,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_i
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PIECES.types, strict=True)], schema=_PIECES)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(in_batches, run, "doc_id long, piece int, start long, length long, ids_crc32 long", ("encoder", tokenizer_file))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

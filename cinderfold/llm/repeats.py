@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderfold.llm.common import load, row_key, written
+from cinderfold.llm.common import in_batches, load, row_key, written
 
 LENGTH = 400
 GRAM = 128  # a power of two
@@ -253,7 +253,7 @@ def _crowded(around: DataFrame, length: int, keep: str) -> DataFrame:
     Copies of a window are counted before the shuffle, so a passage in a third of all documents is as light as any.
     """
     side = length - GRAM
-    windows = around.mapInArrow(_windows(length), "g long, c long, k1 long, k2 long, at long, start long, w long")
+    windows = around.transform(in_batches, _windows(length), "g long, c long, k1 long, k2 long, at long, start long, w long")
     place = F.struct("k1", "k2", "at")
     twins = windows.groupBy("g", "start", "w").agg(F.min(F.struct(place, "c")).alias("first"), F.max(F.struct(place, "c")).alias("last")).where(F.col("first.c") != F.col("last.c"))
     hit = windows.join(twins, ["g", "start", "w"])
@@ -281,21 +281,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", gr
         raise ValueError(f"length: above {GRAM}")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(), F.col("text").cast("string").alias("text"))
     side = length - GRAM
-    found = texts.select("k1", "k2", "text").mapInArrow(_anchor_rows(length), "g long, c long, k1 long, k2 long, at long")
+    found = texts.select("k1", "k2", "text").transform(in_batches, _anchor_rows(length), "g long, c long, k1 long, k2 long, at long")
     classes = found.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("m"))
     kinds = classes.groupBy("g").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).where("kinds > 1 or most > 1").select("g", "kinds")
     classes = classes.join(kinds, "g").where((F.col("kinds") > 1) | (F.col("n") > 1))
     classes = written(classes.select("g", "c", "n", "kinds", "m.*"), "classes")
     todo = classes.where("kinds > 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("g", "c", "at", "kinds")).alias("todo"))
-    packed = texts.where(F.octet_length("text") >= length).mapInArrow(_packed, "doc_id long, k1 long, k2 long, packed binary").drop("doc_id")
-    around = packed.join(todo, ["k1", "k2"]).mapInArrow(_surroundings(length), "g long, c long, k1 long, k2 long, at long, around binary, kinds long")
-    mixed = around.where(F.col("kinds") <= group_rows).drop("kinds").repartition("g").sortWithinPartitions("g", "k1", "k2", "at").mapInArrow(_groups(length, keep), "g long, c long, lo long, hi long")
+    packed = texts.where(F.octet_length("text") >= length).transform(in_batches, _packed, "doc_id long, k1 long, k2 long, packed binary").drop("doc_id")
+    around = packed.join(todo, ["k1", "k2"]).transform(in_batches, _surroundings(length), "g long, c long, k1 long, k2 long, at long, around binary, kinds long")
+    mixed = around.where(F.col("kinds") <= group_rows).drop("kinds").repartition("g").sortWithinPartitions("g", "k1", "k2", "at").transform(in_batches, _groups(length, keep), "g long, c long, lo long, hi long")
     if classes.where(F.col("kinds") > group_rows).limit(1).count():
         mixed = mixed.unionByName(_crowded(around.where(F.col("kinds") > group_rows), length, keep))
     whole = classes.where("n > 1").select("g", "c", F.lit(-side).cast("long").alias("lo"), F.lit(length).cast("long").alias("hi"), F.col("k1").alias("m1"), F.col("k2").alias("m2"), F.col("at").alias("m3"))
     none = F.lit(None).cast("long")
     cover = written(whole.unionByName(mixed.select("g", "c", "lo", "hi", none.alias("m1"), none.alias("m2"), none.alias("m3"))), "cover")
-    again = texts.select("k1", "k2", "text").mapInArrow(_anchor_rows(length), "g long, c long, k1 long, k2 long, at long")
+    again = texts.select("k1", "k2", "text").transform(in_batches, _anchor_rows(length), "g long, c long, k1 long, k2 long, at long")
     spans = again.join(cover, ["g", "c"])
     if keep == "first":  # a class's first member is only covered by what its own surroundings show, the others throughout
         is_first = (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")) & (F.col("at") == F.col("m3"))
@@ -319,7 +319,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", g
     """doc_id, n_bytes, spans (removed runs, array of lo and hi), kept (the remaining bytes) of every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(), F.col("text").cast("string").alias("text"))
     spans = repeated_spans(docs, length, keep, group_rows).groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    rows = texts.mapInArrow(_packed, "doc_id long, k1 long, k2 long, packed binary").join(spans, ["k1", "k2"], "left")
+    rows = texts.transform(in_batches, _packed, "doc_id long, k1 long, k2 long, packed binary").join(spans, ["k1", "k2"], "left")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), ("kept", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +340,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", g
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
-    return rows.select("doc_id", "packed", "spans").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<lo:bigint,hi:bigint>>, kept binary")
+    return rows.select("doc_id", "packed", "spans").transform(in_batches, cut, "doc_id long, n_bytes long, spans array<struct<lo:bigint,hi:bigint>>, kept binary")
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderfold.llm.common import drop_written, load, row_key, written
+from cinderfold.llm.common import drop_written, in_batches, load, row_key, written
 
 RADIUS = 3
 WORDS = 3
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(fps.view(np.int64))], ["doc_id", "k1", "k2", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, fp long")
+    return rows.transform(in_batches, run, "doc_id long, k1 long, k2 long, fp long")
 
 
 def variant_masks(radius: int) -> list[tuple[int, list[int]]]:
@@ -179,8 +179,8 @@ def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """a, b: links enough to connect all fingerprints (column fp, each once) that are within radius, and no others."""
-    keyed = distinct.select("fp").mapInArrow(_emit(radius), "key long, fp long")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links(radius), "a long, b long").distinct()
+    keyed = distinct.select("fp").transform(in_batches, _emit(radius), "key long, fp long")
+    return keyed.repartition("key").sortWithinPartitions("key").transform(in_batches, _links(radius), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -189,15 +189,15 @@ def components(edges: DataFrame) -> DataFrame:
     In each round every label group takes the least label next to any of its members, then labels are replaced by
     their own labels; so a chain's length at least halves. Each round is written to the shared folder.
     """
-    edges = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = written(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("label")), "labels")
+    edges = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges", narrow=True)
+    labels = written(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("label")), "labels", narrow=True)
     while True:
         beside = edges.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("beside"))
         near = labels.join(beside, "v").select("v", "label", F.least("label", "beside").alias("near"))
         groups = near.groupBy("label").agg(F.min("near").alias("least"))
-        hooked = written(near.join(groups, "label").select("v", "label", F.least("near", "least").alias("new")), "hooked")
+        hooked = written(near.join(groups, "label").select("v", "label", F.least("near", "least").alias("new")), "hooked", narrow=True)
         up = hooked.select(F.col("v").alias("new"), F.col("new").alias("up"))
-        new = written(hooked.join(up, "new").select("v", F.least("new", "up").alias("label"), F.col("label").alias("old")), "labels")
+        new = written(hooked.join(up, "new").select("v", F.least("new", "up").alias("label"), F.col("label").alias("old")), "labels", narrow=True)
         changed = new.where(F.col("label") != F.col("old")).limit(1).count()
         for done in (labels, hooked):
             drop_written(done)
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     a component_id unless its component has no other. Other columns are not read.
     """
     rows = written(fingerprints(docs, words), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct", narrow=True)
     labels = components(links(distinct, radius))
     linked = distinct.join(labels.withColumnRenamed("v", "fp"), "fp")
     ids = linked.groupBy("label").agg(F.min("least").alias("component_id"))

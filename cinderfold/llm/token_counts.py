@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderfold.llm.common import load
+from cinderfold.llm.common import held, in_batches, load
 
 SPACE = "▁"
 #: Added to the least score for a character that no piece holds, as the usual unigram encoders do.
@@ -88,9 +88,6 @@ class TrieCounts(dict):
         return len(words), sum(map(self.__getitem__, words))
 
 
-_HELD: dict[str, TrieCounts] = {}
-
-
 def token_counts(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, n_words, n_tokens of every row's whole text.
 
@@ -101,14 +98,12 @@ def token_counts(docs: DataFrame, model_file: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model_file not in _HELD:
-            _HELD[model_file] = TrieCounts(vocabulary(model_file))
-        counts = _HELD[model_file]
+        counts = held(("trie", model_file), lambda: TrieCounts(vocabulary(model_file)))
         for batch in batches:
             got = [counts.count(t.as_py()) if t.is_valid else (0, 0) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([w for w, _ in got], pa.int64()), pa.array([n for _, n in got], pa.int64())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(in_batches, run, "doc_id long, n_words long, n_tokens long", ("trie", model_file))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

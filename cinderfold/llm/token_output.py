@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cinderfold.llm.common import load, scratch_path
+from cinderfold.llm.common import in_batches, load, scratch_path
 from cinderfold.llm.encoding import encoder
 
 MAGIC = b"CFTB"
@@ -135,7 +135,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .repartitionByRange(F.asc_nulls_first("doc_id"))
         .sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
-        .mapInArrow(encode, "part int, segment int, part_start long, n_ids long, image binary")
+        .transform(in_batches, encode, "part int, segment int, part_start long, n_ids long, image binary", ("encoder", tokenizer_file))
         .write.parquet(path)
     )
 
@@ -166,7 +166,7 @@ def read_documents(segments: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": seg.doc_ids, "start": at[:-1] + start, "n_tokens": np.diff(at), "ids_crc32": crc}, schema=_READ)
 
-    return segments.select("start", "image").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return segments.select("start", "image").transform(in_batches, decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,12 +5,13 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import Row
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from cinderfold.llm.language_id import fit, predict_bytes
 from cinderfold.llm.mixing import mix, sizes
-from cinderfold.llm.pii import QUERY_KEY, replace
+from cinderfold.llm.pii import key_of, replace
 from tests.llm.test_mixing import water
 from tests.llm.test_packing import check
 from tests.llm.test_simhash import plain_fingerprint, union
@@ -50,7 +51,8 @@ def test_language(stages):
     docs, kept = stages[0].collect(), stages[1].collect()
     model = fit(stages[0])
     got = predict_bytes(model, [None if d.text is None else d.text.encode() for d in docs])
-    assert Counter(kept) == Counter(d for d, (lang, _, bits) in zip(docs, got, strict=True) if lang != "und" and bits < 8)
+    assert Counter(kept) == Counter(Row(**d.asDict() | {"lang": lang}) for d, (lang, _, bits) in zip(docs, got, strict=True) if lang != "und" and bits < 8)
+    assert {d.lang for d in kept} == {"aa", "bb"}
     assert {d.doc_id for d in docs} - {d.doc_id for d in kept} == {400, 401, 402}
 
 
@@ -64,8 +66,8 @@ def test_near_dedup(stages):
     assert set(kept) <= set(docs) and len(kept) < len(docs) - 50
 
 
-def test_personal_data(stages):
-    expected = Counter(replace(d.text, QUERY_KEY)[0] for d in stages[2].collect())
+def test_personal_data(spark, stages):
+    expected = Counter(replace(d.text, key_of(spark))[0] for d in stages[2].collect())
     out = stages[3].collect()
     assert Counter(d.text for d in out) == expected and all(d.n_chars == len(d.text) for d in out)
     assert not any("me" in d.text and "@x.org" in d.text for d in out)
