@@ -102,7 +102,8 @@ def _remove_left(spark: SparkSession) -> None:
 def written(df: DataFrame, name: str, compression: str = "zstd", narrow: bool = False) -> DataFrame:
     """Cut lineage: write to the shared folder, read back. Survives the loss of any executor.
 
-    narrow: for tables of a few numbers a row, which two files a core hold with ease; many small files help nobody.
+    narrow: for tables of a few numbers or words a row, which two files a core hold with ease: partitions follow one
+    another in a task, and many small files help nobody.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)

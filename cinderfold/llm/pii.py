@@ -338,11 +338,11 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
 def _names(text: str) -> Iterator[tuple[int, int, str]]:
     """Names behind titles or listed given names, and every later or earlier mention of their parts."""
     known: dict[str, str] = {}
-    for m in _TITLED.finditer(text):
+    for m in _TITLED.finditer(text) if any(t in text for t in TITLES) else ():
         known |= dict.fromkeys(_PARTS.findall(m["b"] or m["a"]), "surname")
         if m["b"]:
             known = dict.fromkeys(_PARTS.findall(m["a"]), "given") | known
-    for m in _UNTITLED.finditer(text):
+    for m in _UNTITLED.finditer(text) if any(n in text for names in GIVEN.values() for n in names) else ():
         known = {m["a"]: "given"} | dict.fromkeys(_PARTS.findall(m["b"]), "surname") | known
     if known:
         yield from ((m.start(), m.end(), known[m[0]]) for m in _WORD.finditer(text) if m[0] in known and m[0] not in TITLES)
@@ -416,22 +416,22 @@ def exceptions(found: DataFrame, key: bytes) -> DataFrame:
     stay distinct. After ROUNDS attempts an entity keeps its first surrogate, as do listed given names, whose surrogates
     are listed names again.
     """
-    real = written(found.select("kind", "form").where("kind <> 'given'").distinct(), "entities")
-    first = written(images(real, key), "images")
+    real = written(found.select("kind", "form").where("kind <> 'given'").distinct(), "entities", narrow=True)
+    first = written(images(real, key), "images", narrow=True)
     taken = real.unionByName(first.select("kind", F.col("image").alias("form")))
     named = real.select("kind", F.col("form").alias("image"))
     twice = Window.partitionBy("kind", "image").orderBy("form")
     left = first.join(named, ["kind", "image"], "left_semi").unionByName(first.withColumn("n", F.row_number().over(twice)).where("n > 1").drop("n")).select("kind", "form").distinct()
-    left = written(left, "colliding")
+    left = written(left, "colliding", narrow=True)
     done = left.select("*", F.lit(0).alias("attempt")).limit(0)
     for attempt in range(1, ROUNDS + 1):
         if not left.limit(1).count():
             break
         tried = images(left, key, attempt).join(taken.withColumnRenamed("form", "image").distinct(), ["kind", "image"], "left_anti")
-        free = written(tried.withColumn("n", F.row_number().over(twice)).where("n = 1").drop("n"), "free")
+        free = written(tried.withColumn("n", F.row_number().over(twice)).where("n = 1").drop("n"), "free", narrow=True)
         done = done.unionByName(free.select("kind", "form", F.lit(attempt).alias("attempt")))
         taken = taken.unionByName(free.select("kind", F.col("image").alias("form")))
-        left = written(left.join(free, ["kind", "form"], "left_anti"), "colliding")
+        left = written(left.join(free, ["kind", "form"], "left_anti"), "colliding", narrow=True)
     return done
 
 
@@ -445,7 +445,7 @@ def replaced(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     found = written(mentions(docs, text), "mentions")
     own = found.join(exceptions(found, key), ["kind", "form"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "form", "attempt")).alias("fixes"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).cast("string").alias("text"), *row_key("doc_id", text))
-    rows = rows.join(written(own, "fixes"), ["k1", "k2"], "left").select("row", "text", "fixes")
+    rows = rows.join(written(own, "fixes", narrow=True), ["k1", "k2"], "left").select("row", "text", "fixes")
     kind = rows.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
