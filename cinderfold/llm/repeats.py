@@ -1,19 +1,23 @@
 """Repeated passages, byte by byte, by longest previous factors.
 
 A byte goes if a string of `length` bytes around it also starts elsewhere: earlier (keep="first", the longest previous
-factor is long enough) or anywhere (keep="none", the longest previous or next factor is). Suffixes are only told apart up
-to `length` bytes, and only where they can have a twin:
+factor is long enough) or anywhere (keep="none", the longest previous or next factor is). A suffix array of a whole corpus
+can't be dealt out to tasks, so suffixes are ordered where they can have a twin:
 
 1. Every window of `length` bytes has an anchor, its least run of GRAM bytes by hash (the leftmost, if tied). Equal
-   windows have equal anchors at equal places, so suffixes need only be compared among windows with equal anchors.
+   windows have equal anchors at equal places, so a window's suffix need only be ordered among those at the same distance
+   ahead of the same gram.
 2. Anchors with equal surroundings on both sides (all windows around them equal) are one class, found by a count.
 3. Only classes that share an anchor's gram but not its surroundings are laid out: each sends its surroundings once. The
-   windows around them are put in suffix order, and the neighbours in that order with smaller and larger positions say
-   which have an earlier or a later copy.
+   suffixes that start 0, 1, 2, ... bytes ahead of the gram are put in order, each from the one before by a stable sort of
+   one more byte, and classes of equal prefixes are carried along, so that runs of suffixes with `length` common bytes are
+   known from the bytes themselves. A suffix has an earlier factor of that length if the nearest smaller position before
+   or behind it in suffix order lies in its run, which is to say if it isn't the run's least.
 4. Covered stretches go back to the documents by row key.
 
-Whatever the number of copies, a class is counted before the shuffle and sent once. Equality is that of 64-bit hashes of
-gram, surroundings and window together.
+Whatever the number of copies, a class is counted before the shuffle and sent once. A gram with more than GROUP_ROWS
+classes is split by window. Grams, equal surroundings and the windows of such grams are told apart by 64-bit hashes: always
+two together, of the gram and of what is around it.
 """
 
 from __future__ import annotations
@@ -34,8 +38,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _PLACE_BITS = 24
 _SEGMENT = 1 << 23
 _FLUSH = 8 << 20
-_ROWS = 512
-_COLUMNS = 39
+_ROWS = 4096
+_HASHED = 512
 #: Grams with more kinds of surroundings than one task holds (about 3 KB each) are split by window.
 GROUP_ROWS = 1 << 15
 
@@ -134,19 +138,6 @@ def _surroundings(length: int):
 _AROUND = pa.schema([*_ANCHORS, ("around", pa.binary()), ("kinds", pa.int64())])
 
 
-def neighbours(order: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For suffixes in an order by content then position: has an earlier copy, has a later copy; by original index.
-
-    order: indices column by column in suffix order; same: whether a suffix equals the one before it up to the length
-    asked for. Positions rise within equal suffixes, so the one before is the nearest smaller position, the one behind
-    the nearest larger.
-    """
-    earlier, later = np.zeros(order.shape, bool), np.zeros(order.shape, bool)
-    np.put_along_axis(earlier, order, same, axis=0)
-    np.put_along_axis(later, order, np.concatenate([same[1:], np.zeros((1, same.shape[1]), bool)]), axis=0)
-    return earlier, later
-
-
 def window_hashes(around: list[bytes], left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the window at each start (column) of each surroundings (row), and whether there is one.
 
@@ -160,71 +151,93 @@ def window_hashes(around: list[bytes], left: np.ndarray, length: int) -> tuple[n
     starts = np.arange(side + 1)
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.full(width, _BASE | np.uint64(1)))
-        for a in range(0, len(around), _ROWS):
-            own, at = around[a : a + _ROWS], left[a : a + _ROWS]
+        for a in range(0, len(around), _HASHED):
+            own, at = around[a : a + _HASHED], left[a : a + _HASHED]
             sizes = np.array([len(x) for x in own])
             text = np.zeros((len(own), width), np.uint64)
             flat = np.frombuffer(b"".join(own), np.uint8)
             column = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(side - at, sizes)
             text[np.repeat(np.arange(len(own)), sizes), column] = (flat.astype(np.uint64) + np.uint64(1)) * powers[column]
             sums = np.concatenate([np.zeros((len(own), 1), np.uint64), np.cumsum(text, axis=1, dtype=np.uint64)], axis=1)
-            windows[a : a + _ROWS] = sums[:, length:] - sums[:, : side + 1]
-            real[a : a + _ROWS] = (starts >= (side - at)[:, None]) & (starts + length <= (side - at + sizes)[:, None])
+            windows[a : a + _HASHED] = sums[:, length:] - sums[:, : side + 1]
+            real[a : a + _HASHED] = (starts >= (side - at)[:, None]) & (starts + length <= (side - at + sizes)[:, None])
     return windows, real
 
 
-def covered(around: list[bytes], left: np.ndarray, length: int, keep: str) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds, from the anchor on, of what each of a group's surroundings has covered; bounds are equal if nothing is.
+def covered(around: list[bytes], left: np.ndarray, group: np.ndarray, length: int, keep: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds, from the anchor on, of what each of the groups' surroundings has covered; bounds are equal if nothing is.
 
-    around: in order of position, with the anchor at place left. All windows hold the anchor, so what they cover is one
-    stretch.
+    around: by group, and in order of position within it, with the anchor at place left. All windows hold the anchor, so
+    what they cover is one stretch.
     """
     side, m = length - GRAM, len(around)
-    windows, real = window_hashes(around, left, length)
-    first, last = np.full(m, side + 1), np.full(m, -1)
-    for a in range(0, side + 1, _COLUMNS):
-        own, there = windows[:, a : a + _COLUMNS], real[:, a : a + _COLUMNS]
-        own[~there] = 0
-        order = np.argsort(own, axis=0, kind="stable")
-        ranked, known = np.take_along_axis(own, order, 0), np.take_along_axis(there, order, 0)
-        same = np.zeros(order.shape, bool)
-        same[1:] = (ranked[1:] == ranked[:-1]) & known[1:] & known[:-1]
-        earlier, later = neighbours(order, same)
-        hit = earlier if keep == "first" else earlier | later
-        some = np.flatnonzero(hit.any(1))
-        first[some] = np.minimum(first[some], a + hit[some].argmax(1))
-        last[some] = a + hit.shape[1] - 1 - hit[some][:, ::-1].argmax(1)
-    return np.where(last >= 0, first - side, 0), np.where(last >= 0, last + length - side, 0)
+    sizes = np.array([len(x) for x in around])
+    right = sizes - left - GRAM
+    data = np.zeros((m, 2 * side), np.uint16)  # bytes from 1, the gram left out; 0: outside of the text
+    flat = np.frombuffer(b"".join(around), np.uint8)
+    column = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes + left, sizes)  # from the anchor
+    outside = (column < 0) | (column >= GRAM)
+    column = np.where(column < 0, column + side, column + side - GRAM)[outside]
+    data[np.repeat(np.arange(m), sizes)[outside], column] = flat[outside] + np.uint16(1)
+
+    # Suffixes from the gram on: in order of what is behind it, with the bytes that neighbours have in common there.
+    behind = np.ascontiguousarray(data[:, side:].astype(">u2")).view(f"S{2 * side}").reshape(-1)
+    order = np.lexsort((behind, group))
+    differs = np.concatenate([data[order[1:], side:] != data[order[:-1], side:], np.ones((m - 1, 1), bool)], axis=1)
+    common = np.where(group[order[1:]] == group[order[:-1]], differs.argmax(1), -1)
+    place = np.empty(m, np.int64)
+    ahead = group.astype(np.int64)  # class of the bytes ahead of the gram
+    first, last = np.full(m, -1), np.full(m, -1)  # most and fewest bytes ahead of the gram at which a window is covered
+    for at, byte in enumerate(np.concatenate([np.zeros((1, m), np.uint16), data[:, :side].T[::-1]])):  # at: bytes ahead of the gram
+        if at == 0:
+            by_place = np.append(-1, common)
+            place[order] = np.arange(m)
+        else:
+            order = order[np.lexsort((byte[order], group[order]))]
+            new = np.append(True, (byte[order[1:]] != byte[order[:-1]]) | (ahead[order[1:]] != ahead[order[:-1]]))
+            ahead = ahead.copy()
+            ahead[order] = np.cumsum(new)
+        same = np.cumsum(by_place < side - at)[place]  # class of the bytes behind the gram that the window still holds
+        starts = np.append(True, (ahead[order[1:]] != ahead[order[:-1]]) | (same[order[1:]] != same[order[:-1]]))
+        run = np.cumsum(starts) - 1
+        many = np.bincount(run) > 1
+        hit = many[run] & (left[order] >= at) & (right[order] >= side - at)
+        if keep == "first":
+            hit &= order > np.minimum.reduceat(order, np.flatnonzero(starts))[run]
+        some = order[hit]
+        first[some] = at
+        last[some] = np.where(last[some] < 0, at, last[some])
+    return np.where(first >= 0, -first, 0), np.where(first >= 0, length - last, 0)
 
 
 _COVER = pa.schema([("g", pa.int64()), ("c", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
 
 def _groups(length: int, keep: str):
-    """covered() of each group of rows sorted by gram and position; groups may run over batches."""
+    """covered() of groups of rows sorted by gram and position, many groups at a time; groups may run over batches."""
     side = length - GRAM
 
-    def of_group(rows: list[tuple]) -> pa.RecordBatch | None:
-        once = {r[1]: r for r in reversed(rows)}  # repeated documents bring a class more than once
-        rows = [r for r in rows if once.get(r[1]) is r]
-        if len(rows) < 2:
-            return None
-        lo, hi = covered([r[3] for r in rows], np.array([min(r[2], side) for r in rows]), length, keep)
+    def of_groups(rows: list[tuple]) -> pa.RecordBatch | None:
+        g = np.array([r[0] for r in rows])
+        lo, hi = covered([r[3] for r in rows], np.array([min(r[2], side) for r in rows]), np.cumsum(np.append(True, g[1:] != g[:-1])), length, keep)
         some = np.flatnonzero(hi > lo)
-        if not len(some):
-            return None
-        return pa.RecordBatch.from_pydict({"g": [rows[0][0]] * len(some), "c": [rows[i][1] for i in some], "lo": lo[some], "hi": hi[some]}, schema=_COVER)
+        return pa.RecordBatch.from_pydict({"g": g[some], "c": [rows[i][1] for i in some], "lo": lo[some], "hi": hi[some]}, schema=_COVER) if len(some) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        seen: set[int] = set()
         for batch in batches:
             for row in zip(batch.column("g").to_pylist(), batch.column("c").to_pylist(), batch.column("at").to_pylist(), batch.column("around").to_pylist(), strict=True):
-                if held and held[0][0] != row[0]:
-                    if (out := of_group(held)) is not None:
-                        yield out
-                    held = []
-                held.append(row)
-        if held and (out := of_group(held)) is not None:
+                if held and held[-1][0] != row[0]:
+                    seen = set()
+                    if len(held) >= _ROWS:
+                        if (out := of_groups(held)) is not None:
+                            yield out
+                        held = []
+                if row[1] not in seen:  # repeated documents bring a class more than once
+                    seen.add(row[1])
+                    held.append(row)
+        if held and (out := of_groups(held)) is not None:
             yield out
 
     return _in_large_batches(run)
@@ -237,8 +250,8 @@ def _windows(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(a, _ROWS)
+            for a in range(0, batch.num_rows, _HASHED):
+                part = batch.slice(a, _HASHED)
                 windows, real = window_hashes(part.column("around").to_pylist(), np.minimum(part.column("at").to_numpy(), side), length)
                 row, start = np.nonzero(real)
                 own = part.select(["g", "c", "k1", "k2", "at"]).take(pa.array(row))
@@ -344,6 +357,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", g
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of all documents, every copy of 400 repeated bytes removed."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text of all documents, every copy of 400 repeated bytes removed.
+
+    text: the remaining bytes; where a cut left a part of a character, U+FFFD stands for it (the digest is of the bytes).
+    """
     out = without_repeats(load(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
