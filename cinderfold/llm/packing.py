@@ -1,15 +1,15 @@
 """Sum-of-squares packing of documents into training sequences.
 
 An item goes where the sum, over all gaps, of the squared number of open sequences with that gap becomes least; a new
-sequence competes on the same terms. Shards of bounded size are packed side by side in random order, the shortest items
-last. Only sequences left open are opened again: their items are packed anew, by best fit within the shard and then with
-those of 64 shards at a time until one shard is left. Closed sequences are exactly full and never move.
+sequence is opened if no open one holds the item. Shards of bounded size are packed side by side, each from its longest
+item to its shortest, ties in random order. A sequence is closed when it is full. Items of sequences left open are packed
+anew by the same rule with those of 64 shards at a time, until one shard is left, so that what shards leave open doesn't
+grow with their number.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,27 +24,21 @@ from cinderfold.llm.encoding import encoder
 CAPACITY = 2048
 SHARD_ITEMS = 1 << 16
 FAN_IN = 64
-LATE_SHARE = 0.2
-_SHUT_OUT = 1 << 60
 
 
 def sum_of_squares(sizes: list[int], capacity: int) -> tuple[list[list[int]], list[list[int]]]:
     """Indices of sizes by sequence, in order of placement: exactly full ones, then open ones. Ties: least gap."""
-    n = np.zeros(capacity + 1, np.int64)  # open sequences by gap; n[0] stays 0, n[capacity] stands for a new one
+    n = np.zeros(capacity + 1, np.int64)  # open sequences by gap; those of gap 0 are closed, so n[0] stays 0
     held: list[list[list[int]]] = [[] for _ in range(capacity + 1)]
     full: list[list[int]] = []
     for item, size in enumerate(sizes):
-        before, after = n[size:], n[: capacity - size + 1]
-        change = np.where(before > 0, 2 * (after - before + 1), _SHUT_OUT)
-        change[-1] = 2 * after[-1] + 1
-        if before[0]:
-            change[0] = 1 - 2 * before[0]
-        elif size == capacity:
-            change[0] = 0
-        gap = int(change.argmin()) + size
-        if gap == capacity:
-            sequence = [item]
-        else:
+        before, after = n[size:capacity], n[: capacity - size]
+        gap, sequence = capacity, [item]
+        if len(some := np.flatnonzero(before)):
+            change = 2 * (after[some] - before[some] + 1)
+            if some[0] == 0:  # a sequence that becomes full leaves the sum
+                change[0] = 1 - 2 * before[0]
+            gap = int(some[change.argmin()]) + size
             n[gap] -= 1
             sequence = held[gap].pop()
             sequence.append(item)
@@ -56,39 +50,11 @@ def sum_of_squares(sizes: list[int], capacity: int) -> tuple[list[list[int]], li
     return full, [s for of_gap in held for s in of_gap]
 
 
-def best_fit(sizes: list[int], capacity: int) -> tuple[list[list[int]], list[list[int]]]:
-    """As sum_of_squares(), for few items: each, longest first, goes to the least gap that holds it."""
-    gaps: list[tuple[int, int]] = []
-    held: list[list[int]] = []
-    for item in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        at = bisect_left(gaps, (sizes[item], 0))
-        if at == len(gaps):
-            held.append([item])
-            gap, sequence = capacity, len(held) - 1
-        else:
-            gap, sequence = gaps.pop(at)
-            held[sequence].append(item)
-        if gap > sizes[item]:
-            insort(gaps, (gap - sizes[item], sequence))
-    still = {sequence for _, sequence in gaps}
-    return [s for i, s in enumerate(held) if i not in still], [s for i, s in enumerate(held) if i in still]
-
-
 def pack_shard(sizes: np.ndarray, order: np.ndarray, capacity: int) -> tuple[list[list[int]], list[list[int]]]:
-    """Full and open sequences of one shard, by the sum of squares in the given order, the shortest fifth kept for the end.
-
-    What is left open then is taken apart and packed by best fit, if that needs no more sequences.
-    """
-    short = np.quantile(sizes, LATE_SHARE)
-    late = order[sizes[order] <= short]
-    order = np.concatenate([order[sizes[order] > short], late[np.argsort(-sizes[late], kind="stable")]])
+    """Full and open sequences of one shard by the sum of squares, from the longest item on, ties in the given order."""
+    order = order[np.argsort(-sizes[order], kind="stable")]
     full, left = sum_of_squares(sizes[order].tolist(), capacity)
-    full, left = [[order[i] for i in s] for s in full], [[order[i] for i in s] for s in left]
-    again = sorted(i for s in left for i in s)
-    more, rest = best_fit([int(sizes[i]) for i in again], capacity)
-    if len(more) + len(rest) <= len(left):
-        full, left = full + [[again[i] for i in s] for s in more], [[again[i] for i in s] for s in rest]
-    return full, left
+    return [[order[i] for i in s] for s in full], [[order[i] for i in s] for s in left]
 
 
 def _mixed(numbers: np.ndarray) -> np.ndarray:
@@ -99,8 +65,8 @@ def _mixed(numbers: np.ndarray) -> np.ndarray:
 def pack(items: DataFrame, capacity: int = CAPACITY, length: str = "length", shard_items: int = SHARD_ITEMS) -> DataFrame:
     """items with sequence_id and offset: rows with one sequence_id stand gapless from offset 0 and total capacity at most.
 
-    Lengths are 1 to capacity; a row with another or none has null sequence_id and offset. Each task holds the numbers of shard_items rows, however many rows there are or repeat
-    one another. Columns of items named sequence_id or offset are replaced.
+    Lengths are 1 to capacity; a row with another or none has null sequence_id and offset. Each task holds the numbers of
+    shard_items rows, however many rows there are or repeat one another. Columns of items named sequence_id or offset are replaced.
     """
     columns = [c for c in items.columns if c not in ("sequence_id", "offset")]
     keyed = written(items.select(*columns, F.monotonically_increasing_id().alias("_item"), F.col(length).cast("int").alias("_size")), "items")

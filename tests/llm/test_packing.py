@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cinderfold.llm.packing import CAPACITY, best_fit, cut, pack, pieces, sum_of_squares
+from cinderfold.llm.packing import CAPACITY, cut, pack, pack_shard, pieces, sum_of_squares
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,7 +18,7 @@ def plain(sizes, capacity):
     gaps, out = [], []
     for item, size in enumerate(sizes):
         best = None
-        for i in [*sorted((i for i, g in enumerate(gaps) if g >= size), key=lambda i: gaps[i]), None]:
+        for i in sorted((i for i, g in enumerate(gaps) if g >= size), key=lambda i: gaps[i]) or [None]:
             trial = gaps + [capacity - size] if i is None else [g - size if j == i else g for j, g in enumerate(gaps)]
             cost = sum(sum(g == h for g in trial) ** 2 for h in set(trial) if h)
             if best is None or cost < best[0]:
@@ -42,19 +42,17 @@ def test_places_as_the_definition_says(sizes):
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.lists(st.integers(1, 12), max_size=40))
-def test_best_fit(sizes):
-    full, left = best_fit(sizes, 12)
-    assert sorted(i for s in full + left for i in s) == list(range(len(sizes)))
-    assert all(sum(sizes[i] for i in s) == 12 for s in full) and all(sum(sizes[i] for i in s) < 12 for s in left)
-    gaps = sorted(12 - sum(sizes[i] for i in s) for s in full + left)
-    expected = []
-    for size in sorted(sizes, reverse=True):
-        own = min((g for g in expected if g >= size), default=12)
-        if own in expected:
-            expected.remove(own)
-        expected.append(own - size)
-    assert gaps == sorted(expected)
+@given(st.lists(st.integers(1, 11), max_size=40))
+def test_shards_go_from_the_longest_on(sizes):
+    full, left = pack_shard(np.array(sizes, np.int64), np.arange(len(sizes)), 12)
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    assert (full, left) == tuple([[order[i] for i in s] for s in part] for part in sum_of_squares([sizes[i] for i in order], 12))
+
+
+def test_nearly_as_few_as_the_tokens_need():
+    sizes = np.clip(np.random.default_rng(0).exponential(400, 3000), 1, 2047).astype(int)
+    full, left = pack_shard(sizes, np.arange(3000), 2048)
+    assert len(full) + len(left) == -(-sizes.sum() // 2048)
 
 
 def test_cut():
