@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by largest inner product over a hierarchical k-means tree.
 
-The tree is fitted on a bounded sample; every vector is then dealt to a leaf. A query goes best bin first: a priority
-queue over the tree's nodes gives leaves in the order of their centres' inner product with it, and so many leaves are
-visited as a calibration against exact answers finds to be enough for the recall asked for. Leaves are searched where
-they lie, in blocks of bounded size, by exact products in double precision.
+The tree is fitted on a bounded sample, down to leaves that hold about LEAF_ROWS of all vectors each, so it grows with the
+table until a leaf has only LEAST_SAMPLE rows of the sample (some 4096 leaves, then each grows); every vector is dealt to a
+leaf. A query goes best bin first: a priority queue over the tree's nodes gives leaves in the order of their centres' inner
+product with it, and so many leaves are visited as a calibration against exact answers finds to be enough for the recall
+asked for. Leaves are searched where they lie, in blocks of bounded size, by exact products in double precision.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ SAMPLE_VALUES = 1 << 22
 CALIBRATION_QUERIES = 256
 BRANCHES = 8
 LEAF_ROWS = 1024
+LEAST_SAMPLE = 16
 BLOCK_ROWS = 4096
 _ROUNDS = 8
 _CHUNK = 256
@@ -203,6 +205,9 @@ def _search(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
 def nearest(vectors: DataFrame, k: int = NEIGHBOURS, query_every: int = QUERY_EVERY, recall: float = RECALL, leaf_rows: int = LEAF_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: for every row whose vec_id is divisible by query_every, its k nearest other rows.
 
+    leaves, visited and calibrated_recall say how many leaves there are, how many each query visits, and what share of the
+    exact neighbours of the calibration's queries lies in them.
+
     Of equal vectors only the k + 1 with the least ids can be among anyone's k nearest, so no more are indexed, and equal
     queries are searched once. Repeated vec_ids count as rows of their own. Candidates of a leaf lie in blocks of
     block_rows; queries that meet there in as many; what a task holds doesn't grow with the table. The tree, its visits
@@ -216,8 +221,10 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, query_every: int = QUERY_EV
     asked_once = written(asked.groupBy("a1", "a2").agg(F.min("vec_id").alias("q"), F.min_by("x", "vec_id").alias("x")), "queries")
     first = kept.limit(1).collect()
     width = len(first[0].x) if first else 1
-    sample = _least(kept, kept.count(), max(1, min(SAMPLE_ROWS, SAMPLE_VALUES // width)), "vec_id")
-    tree = fit_tree(_matrix(sample.column("x")) if sample.num_rows else np.zeros((0, width)), leaf_rows=leaf_rows)
+    n_rows = kept.count()
+    sample = _least(kept, n_rows, max(1, min(SAMPLE_ROWS, SAMPLE_VALUES // width)), "vec_id")
+    share = sample.num_rows / max(n_rows, 1)
+    tree = fit_tree(_matrix(sample.column("x")) if sample.num_rows else np.zeros((0, width)), leaf_rows=leaf_rows if share == 1 else max(LEAST_SAMPLE, round(leaf_rows * share)))
     frozen = spark.sparkContext.broadcast(tree)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +235,7 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, query_every: int = QUERY_EV
     kind = dict(kept.dtypes)["x"]
     candidates = written(kept.select("vec_id", "x").transform(in_batches, deal, f"vec_id long, x {kind}, leaf long"), "leaves")
     trial = _least(asked_once, asked_once.count(), CALIBRATION_QUERIES, "q")
-    visits, _ = calibrate(tree, candidates, _matrix(trial.column("x")), k + 1, recall) if trial.num_rows else (1, 1.0)
+    visits, reached = calibrate(tree, candidates, _matrix(trial.column("x")), k + 1, recall) if trial.num_rows else (1, 1.0)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,8 +248,8 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, query_every: int = QUERY_EV
     parts = lambda df: {r.leaf: -(-r["count"] // block_rows) for r in df.groupBy("leaf").count().collect()}
     of_rows, of_queries = parts(candidates), parts(routed.select("leaf"))
     grid = lambda df, own, other, ident, mine, theirs: _blocks(df, own, ident, mine).withColumn(theirs, F.explode(F.sequence(F.lit(0), _lookup(other) - 1)))
-    left = grid(routed.where(F.col("leaf").isin(*of_rows) if of_rows else F.lit(False)), of_queries, of_rows, "q", "qb", "cb")
-    right = grid(candidates.where(F.col("leaf").isin(*of_queries) if of_queries else F.lit(False)), of_rows, of_queries, "vec_id", "cb", "qb")
+    left = grid(routed, of_queries, of_rows, "q", "qb", "cb")
+    right = grid(candidates, of_rows, of_queries, "vec_id", "cb", "qb")
     keys = ["leaf", "qb", "cb"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: _search(a, b, k + 1), "q long, leaf long, vec_id long, score double")
     lists = _k_best(found, k + 1).groupBy("q").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("best"))
@@ -252,7 +259,7 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, query_every: int = QUERY_EV
         asked.select(F.col("vec_id").alias("query_id"), "a1", "a2")
         .join(known, ["a1", "a2"])
         .select("query_id", F.posexplode(others).alias("i", "b"))
-        .select("query_id", (F.col("i") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
+        .select("query_id", (F.col("i") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"), F.lit(tree.n_leaves).alias("leaves"), F.lit(visits).alias("visited"), F.lit(reached).alias("calibrated_recall"))
     )
 
 

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+import cinderfold.llm.nearest as nearest_module
 from cinderfold.llm.nearest import _matrix, calibrate, fit_tree, nearest, usable
 
 
@@ -58,11 +59,29 @@ def test_recall(spark):
     assert recall >= 0.9
 
 
+def test_recall_on_embeddings(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    found = nearest(rows, leaf_rows=32).collect()
+    ids, x = zip(*((r.vec_id, r.embedding) for r in rows.collect()), strict=True)
+    expected = exact(np.array(ids), np.array(x, float), 20, 20)
+    got = {}
+    for r in found:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = np.mean([len(got[q] & {v for v, _ in e}) / 20 for q, e in expected.items()])
+    assert recall >= 0.9 and {r.calibrated_recall >= 0.95 and r.leaves > 30 and r.visited <= r.leaves for r in found} == {True}
+
+
+def test_leaves_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(nearest_module, "SAMPLE_ROWS", 800)
+    leaves = [nearest(table(spark, np.arange(n), clustered(n)), leaf_rows=50).first().leaves for n in (1600, 4800)]
+    assert 20 < leaves[0] < leaves[1] / 1.5
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     x = [[1, 0], None, [0, 0], [nan, 1], [inf, 1], [None, 1], [], [1, 2, 3], [0, 1], [1, 1], [1, 1], [-1, 0], [0, 0]]
     ids = [0, 20, 40, 60, 80, 100, 120, 140, 160, 5, 6, -20, 41]
-    got = [tuple(r) for r in nearest(table(spark, ids, x)).collect()]
+    got = [tuple(r)[:4] for r in nearest(table(spark, ids, x)).collect()]
     by = {}
     for q, rank, v, s in sorted(got):
         by.setdefault(q, []).append((rank, v, s))
