@@ -66,6 +66,10 @@ def is_validation(bucket: Column, share: float = 0.05, buckets: int = 100) -> Co
     return bucket < max(1, round(share * buckets))
 
 
+#: Least length of the cleaned texts of a source; whether more than the second is dropped, or cut at the third. Fixed values.
+LENGTHS = {"nvd": (50, None, None), "arxiv": (100, None, None), "mitre_attack": (100, None, None), "capec": (100, None, None), "cwe": (100, None, None), "owasp": (100, None, None), "ctf": (200, None, None), "exploitdb": (100, 8000, None), "ctf_repo": (200, None, 12000)}
+
+
 def cve_year(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, CVE_YEAR, 1), F.lit("")).cast("int")
 
@@ -103,6 +107,28 @@ def shingles(tokens: Column, k: int = 4) -> Column:
     return F.array_distinct(runs(tokens, k))
 
 
+def is_empty(c: Column) -> Column:
+    """Whether nothing is left of a text once it is stripped; null is empty."""
+    return strip(F.coalesce(c, F.lit(""))) == ""
+
+
+def within(c: Column, least: int, most: int | None = None, cut: int | None = None) -> Column:
+    """The cleaned text if it has at least `least` and at most `most` characters, cut to `cut`; null if it is dropped."""
+    return within_clean(clean_text(c), least, most, cut)
+
+
+def within_clean(c: Column, least: int, most: int | None = None, cut: int | None = None) -> Column:
+    """within() for text that is clean already."""
+
+    def of(t: Column) -> Column:
+        kept = F.length(t) >= least
+        if most is not None:
+            kept = kept & (F.length(t) <= most)
+        return F.when(kept, t if cut is None else F.substring(t, 1, cut))
+
+    return bind(c, of)
+
+
 def est_tokens(chars: Column) -> Column:
     """Four characters a token, of a sum of characters."""
     return F.floor(chars / 4).cast("long")

@@ -7,7 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderfold.functions.text import NOT_SPACE, alphabetic, content_hash, hash_bucket, is_validation, runs, shingles, words
+from cinderfold.functions.text import NOT_SPACE, alphabetic, content_hash, cve_year, decade, hash_bucket, is_validation, runs, shingles, words
+
+
+#: Word pairs of items that may be written into a plan.
+KNOWN_PAIRS = 4096
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -16,9 +20,13 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.select("_row.*")
 
 
-def dedup(docs: DataFrame, text: str = "text", order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The first of all rows whose normal forms are equal, with norm_md5."""
-    return first_wins(docs.withColumn("norm_md5", content_hash(F.col(text))), ["norm_md5"], list(order))
+def dedup(docs: DataFrame, text: str = "text", order: tuple[str, ...] = ("doc_id",), keep: list[Column | str] | None = None) -> DataFrame:
+    """The first of all rows whose normal forms are equal, with norm_md5.
+
+    keep: the columns that are asked for (else all); name them, and texts stay out of the shuffle.
+    """
+    hashed = docs.select(*(docs.columns if keep is None else keep), content_hash(F.col(text)).alias("norm_md5"))
+    return first_wins(hashed, ["norm_md5"], list(order))
 
 
 def split(docs: DataFrame, share: float = 0.05, digest: str = "norm_md5") -> DataFrame:
@@ -39,8 +47,9 @@ def ingest(existing: DataFrame, incoming: DataFrame, key: str, order: list[str])
 
 
 def leaked(probe: DataFrame, other: DataFrame, text: str = "text") -> DataFrame:
-    """Rows of probe whose exact text is in other."""
-    return probe.join(other.select(text).distinct(), text, "left_semi")
+    """Rows of probe whose text is in other, by its 128-bit digest: texts themselves aren't shuffled for it. Null is in no other."""
+    digest = F.md5(F.col(text).cast("binary")).alias("_h")
+    return probe.select("*", digest).join(other.select(digest).distinct(), "_h", "left_semi").drop("_h")
 
 
 def cap(df: DataFrame, by: str, order: list[str], most: int) -> DataFrame:
@@ -49,6 +58,47 @@ def cap(df: DataFrame, by: str, order: list[str], most: int) -> DataFrame:
     return ranked.where(F.col("rn") <= most)
 
 
+def first_rows(df: DataFrame, order: list[str], most: int | None) -> DataFrame:
+    """The first `most` rows by order, as a collector that stops early takes them; all if there's no limit."""
+    return df if most is None else df.orderBy(*order).limit(most)
+
+
+def write_split(parts: DataFrame, path: str) -> None:
+    """Write the rows of split() below path in a folder for each split, so that a reader of one never opens the other."""
+    parts.write.mode("overwrite").partitionBy("split").parquet(path)
+
+
+def most_common(df: DataFrame, by: str, order: str) -> DataFrame:
+    """by, n, first (the least order), the commonest first; of values that are as common, the one that was seen first."""
+    return df.groupBy(by).agg(F.count("*").alias("n"), F.min(order).alias("first")).orderBy(F.desc("n"), "first", by)
+
+
+def top_words(docs: DataFrame, k: int, order: str = "doc_id", text: str = "text") -> DataFrame:
+    """rank, word, n of the k commonest words; of words that are as common, the one that stands first in the corpus.
+
+    Places within a text are looked up for the words that may be among the k only, in the text that has them first.
+    """
+    own = words(F.col(text))
+    counts = docs.select(order, F.explode(own).alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.min(order).alias("_first"))
+    edge = counts.orderBy(F.desc("n")).limit(k).agg(F.min("n").alias("_edge"))  # one row
+    some = counts.crossJoin(F.broadcast(edge)).where("n >= _edge").drop("_edge")
+    placed = some.join(docs.select(F.col(order).alias("_first"), own.alias("_w")), "_first").groupBy("word", "n", "_first").agg(F.min(F.array_position("_w", F.col("word"))).alias("_at"))
+    top = placed.orderBy(F.desc("n"), "_first", "_at").limit(k)
+    return top.select(F.row_number().over(Window.orderBy(F.desc("n"), "_first", "_at")).alias("rank"), "word", "n")  # of k rows
+
+
+def year_audit(ids: DataFrame, ident: str = "id", top: int = 5) -> DataFrame:
+    """kind, bucket, n: rows by year and decade of their ids, rows without a year (missing, bucket null), the first and
+    last year (span, n null) and the `top` commonest years, ties to the earlier."""
+    years = ids.groupBy(cve_year(F.col(ident)).alias("bucket")).agg(F.count("*").alias("n"))  # one row a year
+    known = years.where("bucket is not null")
+    kind = lambda df, name, n="n": df.select(F.lit(name).alias("kind"), F.col("bucket").cast("int").alias("bucket"), F.expr(n).cast("long").alias("n"))
+    span = known.agg(F.explode(F.array(F.min("bucket"), F.max("bucket"))).alias("bucket")).where("bucket is not null")
+    decades = known.groupBy(decade(F.col("bucket")).alias("bucket")).agg(F.sum("n").alias("n"))
+    missing = years.agg(F.lit(None).cast("int").alias("bucket"), F.coalesce(F.sum(F.when(F.col("bucket").isNull(), F.col("n"))), F.lit(0)).alias("n"))
+    return union_all(kind(known, "year"), kind(decades, "decade"), kind(missing, "missing"), kind(span, "span", "null"), kind(known.orderBy(F.desc("n"), "bucket").limit(top), "top"))
+
+
 def duplicates(df: DataFrame, by: list[str], text: str = "text") -> DataFrame:
     """Per group: texts that occur more than once, and the rows beyond the first of each."""
     counts = df.groupBy(*by, F.md5(F.col(text).cast("binary")).alias("_h")).count()
@@ -77,17 +127,31 @@ def contains_any(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
     """Pairs of document and item whose text the document holds.
 
     Items of four words or more are looked up by their second and third word, which stand whole in any text that holds
-    the item; so the join is by key and only its hits are compared. Shorter items are compared with every text.
+    the item. If the items have at most KNOWN_PAIRS such pairs, texts without any are dropped as they are read, and no pair
+    of the corpus is shuffled; else the join is by pair and only its hits are compared. Shorter items, if there are any,
+    are compared with every text.
     """
     cut = lambda c: F.regexp_extract_all(c, F.lit(f"{NOT_SPACE}+"), F.lit(0))
     own = items.where(F.col(text).isNotNull()).select(F.col(item_id), F.col(text).alias("_item"), cut(F.col(text)).alias("_w"))
     long = own.where(F.size("_w") >= 4).select(item_id, "_item", F.array_join(F.slice("_w", 2, 2), " ").alias("_pair"))
     texts = docs.where(F.col(text).isNotNull()).select(doc_id, F.col(text).alias("_text"))
+    short = own.where((F.size("_w") < 4) & (F.length("_item") > 0)).select(item_id, "_item")
+    known = [r["_pair"] for r in long.select("_pair").distinct().limit(KNOWN_PAIRS + 1).collect()]
+    if len(known) <= KNOWN_PAIRS:
+        some = F.array(*map(F.lit, known)) if known else F.array().cast("array<string>")
+        held = texts.select(doc_id, "_text", F.array_intersect(runs(cut(F.col("_text")), 2), some).alias("_pairs")).where(F.size("_pairs") > 0)
+        hits = held.select(doc_id, "_text", F.explode("_pairs").alias("_pair")).join(long, "_pair").where(F.contains("_text", "_item")).select(doc_id, item_id)
+        return _with_short(hits, texts, short, doc_id, item_id)
     pairs = texts.select(doc_id, F.explode(F.array_distinct(runs(cut(F.col("_text")), 2))).alias("_pair"))
     keys = pairs.join(long, "_pair").select(doc_id, item_id, "_item")
     hits = keys.join(texts, doc_id).where(F.contains("_text", "_item")).select(doc_id, item_id)
-    short = own.where((F.size("_w") < 4) & (F.length("_item") > 0)).select(item_id, "_item")
-    return hits.unionByName(texts.join(short, F.contains("_text", "_item")).select(doc_id, item_id)).distinct()
+    return _with_short(hits, texts, short, doc_id, item_id)
+
+
+def _with_short(hits: DataFrame, texts: DataFrame, short: DataFrame, doc_id: str, item_id: str) -> DataFrame:
+    if short.limit(1).count():
+        hits = hits.unionByName(texts.join(short, F.contains("_text", "_item")).select(doc_id, item_id))
+    return hits.distinct()
 
 
 def shingle_overlap(docs: DataFrame, prior: DataFrame, k: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -32,6 +32,13 @@ def accuracy(results: DataFrame, by: str = "task") -> DataFrame:
     return results.rollup(by).agg(F.sum(F.col("correct").cast("long")).alias("correct"), F.count("*").alias("total")).withColumn("accuracy", F.round(F.col("correct") / F.col("total"), 6))
 
 
+def details(results: DataFrame, order: str, by: str = "task") -> DataFrame:
+    """accuracy() of each task with the list of its samples (order, predicted, expected, correct), in order."""
+    rows = results.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(order, "predicted", "expected", "correct"))).alias("details"))
+    own = F.aggregate("details", F.lit(0).cast("long"), lambda n, d: n + d["correct"].cast("long"))
+    return rows.select(by, own.alias("correct"), F.size("details").cast("long").alias("total"), (own / F.size("details")).alias("accuracy"), "details")
+
+
 def best_so_far(log: DataFrame, step: str = "step", loss: str = "val_loss") -> DataFrame:
     """Rows with the least loss up to them; a later equal loss is no new best."""
     before = Window.orderBy(step).rowsBetween(Window.unboundedPreceding, -1)

@@ -30,6 +30,28 @@ RULES = [
     ("Path Traversal", "HIGH", r"""(?:readFile|readFileSync|open|fopen)\s*\(.*(?:req|request|params|query|input|user)"""),
     ("Path Traversal", "MEDIUM", r"""\.\./|\.\.\\|\.\.%2[fF]"""),
 ]
+#: What to say of each rule, in the order of RULES.
+MESSAGES = [
+    "A query is put together from request data; bind parameters instead",
+    "A query in an f-string takes whatever its values hold; bind parameters instead",
+    "A query is filled in by format(); bind parameters instead",
+    "A query in a template literal takes whatever its values hold; prepare the statement",
+    "innerHTML is set from a value; set textContent, or clean the value",
+    "document.write runs what it writes; build nodes instead",
+    "dangerouslySetInnerHTML is used; its value has to be cleaned first",
+    "Request data go into .html(); clean them first",
+    "A command line is put together from request data; pass a list of arguments",
+    "A shell runs a template literal; use execFile with a list of arguments",
+    "os.system runs what came from outside; use subprocess without a shell",
+    "subprocess goes through a shell; leave shell=True out",
+    "A secret stands in the code; read it from the environment",
+    "A private key or cloud secret stands in the code; take it out and replace it",
+    "Certificates aren't checked; leave verification on",
+    "Any origin is let in; name those that may",
+    "Debug mode is on; turn it off in production",
+    "A file name comes from request data; check that it stays in its folder",
+    "A path leads to a parent folder; check what it is made from",
+]
 LEVELS = {"CRITICAL": "Error", "HIGH": "Warning"}
 
 
@@ -48,7 +70,7 @@ def rule_counts(files: DataFrame, ident: str, text: str = "text") -> DataFrame:
 
 
 def findings(files: DataFrame, ident: str, text: str = "text") -> DataFrame:
-    """ident, rule_id, line, column, category, severity, code: every match with its place.
+    """ident, rule_id, line, column, category, severity, description, code: every match with its place.
 
     Lines without any match are dropped by built-in expressions; only the others go to Python for places.
     """
@@ -61,10 +83,10 @@ def findings(files: DataFrame, ident: str, text: str = "text") -> DataFrame:
 
         rules = [re.compile(p, re.IGNORECASE) for _, _, p in RULES]
         for frame in frames:
-            rows = [(i, n, line, m.start() + 1, RULES[n][0], RULES[n][1], code.strip()) for i, line, code in frame.itertuples(index=False) for n, r in enumerate(rules) for m in r.finditer(code)]
-            yield pd.DataFrame(rows, columns=[ident, "rule_id", "line", "column", "category", "severity", "code"])
+            rows = [(i, n, line, m.start() + 1, RULES[n][0], RULES[n][1], MESSAGES[n], code.strip()) for i, line, code in frame.itertuples(index=False) for n, r in enumerate(rules) for m in r.finditer(code)]
+            yield pd.DataFrame(rows, columns=[ident, "rule_id", "line", "column", "category", "severity", "description", "code"])
 
-    return lines.mapInPandas(run, f"{ident} {kind}, rule_id int, line int, column int, category string, severity string, code string")
+    return lines.mapInPandas(run, f"{ident} {kind}, rule_id int, line int, column int, category string, severity string, description string, code string")
 
 
 def level(severity: Column) -> Column:

@@ -38,8 +38,8 @@ def padded(df: DataFrame, tokens: str, batch: str, pad: int, left: bool = False)
     return df.withColumn("mask", mask).withColumn(tokens, out)
 
 
-def stream(df: DataFrame, ordinal: str, tokens: str) -> DataFrame:
-    """One row a token of all documents in a row: position in the whole stream, token.
+def placed(df: DataFrame, ordinal: str, tokens: str) -> DataFrame:
+    """_start (tokens of all documents before), _n, _t (tokens) of every document in one stream of all.
 
     Running counts are summed per bucket of ordinals first, so no task orders the whole corpus.
     """
@@ -47,25 +47,37 @@ def stream(df: DataFrame, ordinal: str, tokens: str) -> DataFrame:
     ahead = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = sized.groupBy("_b").agg(F.sum("_n").alias("_in")).select("_b", F.coalesce(F.sum("_in").over(ahead), F.lit(0)).alias("_base"))
     within = Window.partitionBy("_b").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
-    placed = sized.withColumn("_start", F.sum("_n").over(within) - F.col("_n")).join(buckets, "_b")
-    return placed.select((F.col("_base") + F.col("_start")).alias("_at"), F.posexplode("_t").alias("_i", "token")).select((F.col("_at") + F.col("_i")).alias("position"), "token")
+    return sized.withColumn("_at", F.sum("_n").over(within) - F.col("_n")).join(buckets, "_b").select((F.col("_base") + F.col("_at")).alias("_start"), "_n", "_t")
 
 
 def packed(df: DataFrame, ordinal: str, tokens: str, context: int) -> DataFrame:
-    """idx, x, y of the whole samples of the stream; y is x moved on by one, IGNORE past the end."""
-    flat = stream(df, ordinal, tokens)
-    total = flat.agg((F.max("position") + 1).alias("_total"))
-    idx = F.floor(F.col("position") / context).alias("idx")
-    gathered = F.transform(F.sort_array(F.collect_list(F.struct("position", "token"))), lambda t: t["token"])  # context tokens
-    x = flat.groupBy(idx).agg(gathered.alias("x"))
-    y = flat.where("position > 0").withColumn("position", F.col("position") - 1).groupBy(idx).agg(gathered.alias("y"))
-    whole = x.crossJoin(F.broadcast(total)).where((F.col("idx") + 1) * context <= F.col("_total"))  # total is one row
-    own = F.coalesce("y", F.array().cast("array<int>"))
-    return whole.join(y, "idx", "left").select("idx", "x", F.concat(own, F.array_repeat(F.lit(IGNORE), F.lit(context) - F.size(own))).alias("y"))
+    """idx, x, y of the whole samples of the stream; y is x moved on by one, IGNORE past the end.
+
+    A document is cut where samples end, and the cuts are what is shuffled; the token behind a sample comes along as one
+    more cut.
+    """
+    rows = placed(df, ordinal, tokens).where("_n > 0")
+    first, last = F.floor(F.col("_start") / context), F.floor((F.col("_start") + F.col("_n") - 1) / context)
+    cuts = rows.select("_start", "_t", F.explode(F.sequence(first, last)).alias("idx")).withColumn("_from", F.greatest(F.col("idx") * context, F.col("_start")))
+    at = (F.col("_from") - F.col("_start") + 1).cast("int")
+    room = ((F.col("idx") + 1) * context - F.col("_from")).cast("int")
+    own = F.struct(F.col("idx"), F.col("_from").alias("place"), F.slice("_t", at, room).alias("t"))
+    behind = F.struct((F.col("idx") - 1).alias("idx"), F.col("_from").alias("place"), F.slice("_t", at, 1).alias("t"))
+    both = cuts.select(F.inline(F.when((F.col("_from") == F.col("idx") * context) & (F.col("idx") > 0), F.array(own, behind)).otherwise(F.array(own))))
+    flat = both.groupBy("idx").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("place", "t"))), lambda c: c["t"])).alias("t"))  # context + 1 tokens at most
+    y = F.slice("t", 2, context)
+    return flat.where(F.size("t") >= context).select("idx", F.slice("t", 1, context).alias("x"), F.concat(y, F.array_repeat(F.lit(IGNORE), F.lit(context) - F.size(y))).alias("y"))
+
+
+def shuffled(df: DataFrame, ident: str, seed: int, buckets: int = 1 << 16) -> DataFrame:
+    """df with `place`, an order that hangs on the id and the seed alone and that batches() takes as its order: a hash in
+    some buckets' worth of ordinals."""
+    return df.withColumn("place", F.pmod(F.xxhash64(F.col(ident), F.lit(seed)), F.lit(buckets * ORDINALS_A_BUCKET)))
 
 
 def batches(df: DataFrame, order: str, size: int, drop_last: bool) -> DataFrame:
-    """df with batch_no by order; drop_last leaves out a batch that isn't full."""
+    """df with batch_no by order (whole numbers); drop_last leaves out a batch that isn't full, as training does, else the
+    last one is as long as it is, as evaluation does. Ties of the order are in no order."""
     ranked = df.withColumn("_b", F.floor(F.col(order) / ORDINALS_A_BUCKET))
     ahead = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = ranked.groupBy("_b").count().select("_b", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_base"))

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinderfold.functions import model, text
 from cinderfold.operators import corpus, evaluation, gate, scanner, tokens
+from cinderfold.plans.fragments import ALPHA, CLEAN, NORM, NW, SPLIT, TOKENS, WORDS, W
+from cinderfold.plans.registry import docs, query, table
 from cinderfold.sources import curated, paged
 from cinderfold.sources.files import cyclic, select_sources
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 #: Keywords of categories, and domain terms. Fixed values.
 CATEGORIES = {
     "web": ["sql injection", "xss", "csrf", "ssrf", "jwt", "cookie", "http", "web app"],
@@ -25,77 +22,49 @@ CATEGORIES = {
 }
 TERMS = ["vulnerability", "attacker", "remote", "arbitrary", "overflow", "injection", "execute", "denial", "service", "exploit", "malware", "authentication", "privilege", "escalation", "bypass"]
 
-W, NW = text.SPACE_RE2, text.NOT_SPACE_RE2
-_NORM = rf"regexp_replace(lower(regexp_replace(coalesce(text, ''), '\A{W}+|{W}+\z', '', 'g')), '{W}+', ' ', 'g')"
-_CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(strip_accents(coalesce({0}, '')), '[^\n\t\x20-\x7e]', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '(?m)^[ \t]+|[ \t]+$', '', 'g'), ' {{2,}}', ' ', 'g'), '\A[ \t\n]+|[ \t\n]+\z', '', 'g')"""
-_WORDS = rf"regexp_extract_all(lower(coalesce(text, '')), '{NW}+')"
-_ALPHA = r"list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'), lambda x: lower(x))"
-_TOKENS = f"list_transform({_WORDS}, lambda x: CAST(length(x) AS INTEGER))"
-_SPLIT = f"""hashed AS (SELECT *, md5({_NORM}) AS norm_md5 FROM documents),
- firsts AS (SELECT * FROM hashed QUALIFY row_number() OVER (PARTITION BY norm_md5 ORDER BY doc_id) = 1),
- bucketed AS (SELECT *, CAST(('0x' || norm_md5)::UHUGEINT % 100 AS INTEGER) AS bucket FROM firsts),
- parts AS (SELECT *, CASE WHEN bucket < 5 THEN 'val' ELSE 'train' END AS split FROM bucketed)"""
-
-
-def query(sql: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
-
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.split(corpus.dedup(docs(spark, sf_dir)))
+    """doc_id, source and length of the texts that are left, with their split; texts themselves stay where they are."""
+    keep = ["doc_id", "source", F.length("text").cast("long").alias("length")]
+    return corpus.split(corpus.dedup(docs(spark, sf_dir), keep=keep))
 
 
 # Corpus: dedup, split, ingest
 
 
-@query(f"WITH {_SPLIT} SELECT split, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM parts GROUP BY split")
+@query(f"WITH {SPLIT} SELECT split, count(*) AS n_docs, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM parts GROUP BY split")
 def corpus_split_summary(spark, sf_dir):
-    return parts(spark, sf_dir).groupBy("split").agg(F.count("*").alias("n_docs"), F.sum(F.length("text").cast("long")).alias("n_chars"))
+    return parts(spark, sf_dir).groupBy("split").agg(F.count("*").alias("n_docs"), F.sum("length").alias("n_chars"))
 
 
-@query(f"""SELECT 'documents' AS kind, doc_id AS id, CAST(length(c) AS BIGINT) AS clean_len, md5(c) AS clean_md5 FROM (SELECT doc_id, {_CLEAN.format('text')} AS c FROM documents)
-UNION ALL SELECT 'pages', page_id, CAST(length(c) AS BIGINT), md5(c) FROM (SELECT page_id, {_CLEAN.format('html')} AS c FROM pages)""")
+@query(f"""SELECT 'documents' AS kind, doc_id AS id, CAST(length(c) AS BIGINT) AS clean_len, md5(c) AS clean_md5 FROM (SELECT doc_id, {CLEAN.format('text')} AS c FROM documents)
+UNION ALL SELECT 'pages', page_id, CAST(length(c) AS BIGINT), md5(c) FROM (SELECT page_id, {CLEAN.format('html')} AS c FROM pages)""")
 def clean_text_hash(spark, sf_dir):
     out = lambda df, kind, ident, c: df.select(F.lit(kind).alias("kind"), F.col(ident).alias("id"), text.clean_text(F.col(c)).alias("c"))
     both = out(docs(spark, sf_dir), "documents", "doc_id", "text").unionByName(out(table(spark, sf_dir, "pages"), "pages", "page_id", "html"))
     return both.select("kind", "id", F.length("c").cast("long").alias("clean_len"), F.md5(F.col("c").cast("binary")).alias("clean_md5"))
 
 
-@query(f"WITH {_SPLIT} SELECT doc_id, norm_md5 FROM firsts")
+@query(f"WITH {SPLIT} SELECT doc_id, norm_md5 FROM firsts")
 def dedup_first_wins(spark, sf_dir):
-    return corpus.dedup(docs(spark, sf_dir)).select("doc_id", "norm_md5")
+    return corpus.dedup(docs(spark, sf_dir), keep=["doc_id"])
 
 
-@query(f"SELECT doc_id, CAST(('0x' || md5({_NORM}))::UHUGEINT % 100 AS INTEGER) AS bucket FROM documents")
+@query(f"SELECT doc_id, CAST(('0x' || md5({NORM}))::UHUGEINT % 100 AS INTEGER) AS bucket FROM documents")
 def hash_bucket(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", text.hash_bucket(text.content_hash(F.col("text"))).alias("bucket"))
 
 
-_RULES = [("cve", 50, None, None), ("general", 100, None, None), ("ctf", 200, None, None), ("exploit", 100, 8000, None), ("repo", 200, None, 12000)]
+_RULES_SQL = ", ".join(f"('{name}', {lo}, {'NULL' if hi is None else hi}::INTEGER, {'NULL' if cut is None else cut}::INTEGER)" for name, (lo, hi, cut) in text.LENGTHS.items())
 
 
-@query("""SELECT doc_id, rule, n >= least AND (most IS NULL OR n <= most) AS kept, CAST(CASE WHEN NOT (n >= least AND (most IS NULL OR n <= most)) THEN 0 WHEN n > cut THEN cut ELSE n END AS BIGINT) AS out_len
-FROM (SELECT doc_id, length(text) AS n FROM documents), (VALUES ('cve', 50, NULL, NULL), ('general', 100, NULL, NULL), ('ctf', 200, NULL, NULL), ('exploit', 100, 8000, NULL), ('repo', 200, NULL, 12000)) r(rule, least, most, cut)""")
+@query(f"""SELECT doc_id, rule, n >= least AND (most IS NULL OR n <= most) AS kept, CAST(CASE WHEN NOT (n >= least AND (most IS NULL OR n <= most)) THEN 0 WHEN n > cut THEN cut ELSE n END AS BIGINT) AS out_len
+FROM (SELECT doc_id, length({CLEAN.format("text")}) AS n FROM documents), (VALUES {_RULES_SQL}) r(rule, least, most, cut)""")
 def min_length_filter(spark, sf_dir):
-    rules = F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(lo).alias("least"), F.lit(hi).cast("int").alias("most"), F.lit(cut).cast("int").alias("cut")) for n, lo, hi, cut in _RULES])
-    rows = docs(spark, sf_dir).select("doc_id", "text", F.explode(rules).alias("r"))
-    kept = (F.length("text") >= F.col("r.least")) & F.coalesce(F.length("text") <= F.col("r.most"), F.lit(True))
-    out = F.when(kept, F.length(F.when(F.col("r.cut").isNull(), F.col("text")).otherwise(F.substring(F.col("text"), F.lit(1), F.col("r.cut"))))).otherwise(0)
-    return rows.select("doc_id", "r.rule", kept.alias("kept"), out.cast("long").alias("out_len"))
+    clean = docs(spark, sf_dir).select("doc_id", text.nfkd(F.coalesce("text", F.lit(""))).alias("t"))  # decomposed once for all rules
+    outs = F.array(*[F.struct(F.lit(name).alias("rule"), text.within_clean(text.clean_ascii(F.col("t")), *rule).alias("out")) for name, rule in text.LENGTHS.items()])
+    rows = clean.select("doc_id", F.explode(outs).alias("r"))
+    return rows.select("doc_id", "r.rule", F.col("r.out").isNotNull().alias("kept"), F.coalesce(F.length("r.out"), F.lit(0)).cast("long").alias("out_len"))
 
 
 @query("SELECT source, doc_id, CAST(rn AS INTEGER) AS rn FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 20")
@@ -103,13 +72,14 @@ def per_source_cap(spark, sf_dir):
     return corpus.cap(docs(spark, sf_dir).select("source", "doc_id"), "source", ["doc_id"], 20)
 
 
-@query(f"""WITH {_SPLIT}, old AS (SELECT doc_id FROM parts WHERE split = 'val') SELECT doc_id, 'existing' AS origin FROM old UNION ALL SELECT DISTINCT doc_id, 'new' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM old)""")
+@query(f"""WITH {SPLIT}, old AS (SELECT doc_id FROM parts WHERE split = 'val') SELECT doc_id, 'existing' AS origin FROM old UNION ALL SELECT DISTINCT doc_id, 'new' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM old)""")
 def anti_join_ingest(spark, sf_dir):
-    existing = parts(spark, sf_dir).where("split = 'val'").select("doc_id", "text")
-    return corpus.ingest(existing, docs(spark, sf_dir).select("doc_id", "text"), "doc_id", ["text"]).select("doc_id", "origin")
+    existing = parts(spark, sf_dir).where("split = 'val'").select("doc_id")
+    incoming = docs(spark, sf_dir).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    return corpus.ingest(existing, incoming, "doc_id", ["digest"]).select("doc_id", "origin")
 
 
-_RAW_SPLIT = f"raw AS (SELECT text, CASE WHEN ('0x' || md5({_NORM}))::UHUGEINT % 100 < 5 THEN 'val' ELSE 'train' END AS split FROM documents)"
+_RAW_SPLIT = f"raw AS (SELECT text, CASE WHEN ('0x' || md5({NORM}))::UHUGEINT % 100 < 5 THEN 'val' ELSE 'train' END AS split FROM documents)"
 
 
 def _raw_split(spark, sf_dir):
@@ -204,21 +174,20 @@ def length_percentiles(spark, sf_dir):
     return docs(spark, sf_dir).groupBy("source").agg(*corpus.percentiles(F.length("text"), (0.5, 0.9, 0.95, 0.99)), F.max(F.length("text").cast("long")).alias("max_len"))
 
 
-@query(f"WITH {_SPLIT} SELECT split, count(*) AS n, CAST(sum(length(text)) // count(*) AS BIGINT) AS avg_len, CAST(min(length(text)) AS BIGINT) AS min_len, CAST(max(length(text)) AS BIGINT) AS max_len, CAST(sum(length(text)) // 4 AS BIGINT) AS est_tokens FROM parts GROUP BY split")
+@query(f"WITH {SPLIT} SELECT split, count(*) AS n, CAST(sum(length(text)) // count(*) AS BIGINT) AS avg_len, CAST(min(length(text)) AS BIGINT) AS min_len, CAST(max(length(text)) AS BIGINT) AS max_len, CAST(sum(length(text)) // 4 AS BIGINT) AS est_tokens FROM parts GROUP BY split")
 def length_summary(spark, sf_dir):
-    n = F.length("text").cast("long")
+    n = F.col("length")
     return parts(spark, sf_dir).groupBy("split").agg(F.count("*").alias("n"), F.floor(F.sum(n) / F.count("*")).alias("avg_len"), F.min(n).alias("min_len"), F.max(n).alias("max_len"), text.est_tokens(F.sum(n)).alias("est_tokens"))
 
 
-@query("SELECT coalesce(source, 'unknown') AS source, count(*) AS n FROM documents GROUP BY ALL")
+@query("SELECT source, n, first, row_number() OVER (ORDER BY n DESC, first, source) AS rank FROM (SELECT coalesce(source, 'unknown') AS source, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY ALL)")
 def source_histogram(spark, sf_dir):
-    return docs(spark, sf_dir).groupBy(F.coalesce("source", F.lit("unknown")).alias("source")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source")
+    counts = corpus.most_common(docs(spark, sf_dir).select(F.coalesce("source", F.lit("unknown")).alias("source"), "doc_id"), "source", "doc_id")
+    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "first", "source")).cast("long"))  # one row a source
 
 
 @query("SELECT source, CAST(sum(length(text)) // 4 AS BIGINT) AS est_tokens, round(sum(length(text)) / sum(sum(length(text))) OVER (), 6) AS share FROM documents GROUP BY source")
 def token_share(spark, sf_dir):
-    from pyspark.sql import Window
-
     per = docs(spark, sf_dir).groupBy("source").agg(F.sum(F.length("text").cast("long")).alias("c"))
     return per.select("source", text.est_tokens(F.col("c")).alias("est_tokens"), F.round(F.col("c") / F.sum("c").over(Window.partitionBy()), 6).alias("share"))
 
@@ -236,19 +205,20 @@ def keyword_categories(spark, sf_dir):
     return counts.crossJoin(F.broadcast(total)).select("category", "n", F.round(F.col("n") / F.col("t"), 6).alias("share"))  # total is one row
 
 
-@query(f"SELECT word, n FROM (SELECT unnest({_WORDS}) AS word, count(*) AS n FROM documents GROUP BY 1) ORDER BY n DESC, word LIMIT 20")
+@query(f"""SELECT CAST(rank AS INTEGER) AS rank, word, n FROM (SELECT word, n, row_number() OVER (ORDER BY n DESC, first) AS rank FROM (SELECT word, count(*) AS n, min(doc_id * 4294967296 + i) AS first
+FROM (SELECT doc_id, unnest({WORDS}) AS word, generate_subscripts({WORDS}, 1) AS i FROM documents) GROUP BY word)) WHERE rank <= 20""")
 def word_freq_topk(spark, sf_dir):
-    return corpus.word_counts(docs(spark, sf_dir)).orderBy(F.desc("n"), "word").limit(20)
+    return corpus.top_words(docs(spark, sf_dir), 20)
 
 
-@query(f"WITH w AS (SELECT unnest({_WORDS}) AS word FROM documents) SELECT t.term, count(w.word) AS n FROM (SELECT unnest({TERMS!r}) AS term) t LEFT JOIN w ON w.word = t.term GROUP BY t.term")
+@query(f"WITH w AS (SELECT unnest({WORDS}) AS word FROM documents) SELECT t.term, count(w.word) AS n FROM (SELECT unnest({TERMS!r}) AS term) t LEFT JOIN w ON w.word = t.term GROUP BY t.term")
 def domain_term_counts(spark, sf_dir):
     terms = spark.createDataFrame([(t,) for t in TERMS], "term string")
     counts = corpus.word_counts(docs(spark, sf_dir)).where(F.col("word").isin(TERMS))
     return terms.join(counts, F.col("term") == F.col("word"), "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query(f"WITH w AS (SELECT unnest({_WORDS}) AS word FROM documents) SELECT count(DISTINCT word) AS unique_words, count(*) AS total_words FROM w")
+@query(f"WITH w AS (SELECT unnest({WORDS}) AS word FROM documents) SELECT count(DISTINCT word) AS unique_words, count(*) AS total_words FROM w")
 def vocabulary_size(spark, sf_dir):
     return corpus.word_counts(docs(spark, sf_dir)).agg(F.count("*").alias("unique_words"), F.sum("n").alias("total_words"))
 
@@ -258,7 +228,7 @@ def length_histogram(spark, sf_dir):
     return evaluation.histogram(docs(spark, sf_dir).select(F.length("text").alias("n_")), "n_")
 
 
-@query(f"WITH {_SPLIT} SELECT round(sum(CASE WHEN split = 'val' THEN 1 ELSE 0 END) / greatest(1, sum(CASE WHEN split = 'train' THEN 1 ELSE 0 END)), 6) AS ratio FROM parts")
+@query(f"WITH {SPLIT} SELECT round(sum(CASE WHEN split = 'val' THEN 1 ELSE 0 END) / greatest(1, sum(CASE WHEN split = 'train' THEN 1 ELSE 0 END)), 6) AS ratio FROM parts")
 def split_ratio(spark, sf_dir):
     n = lambda s: F.count(F.when(F.col("split") == s, 1))
     return parts(spark, sf_dir).agg(F.round(n("val") / F.greatest(F.lit(1), n("train")), 6).alias("ratio"))
@@ -272,7 +242,7 @@ def _gate_sql() -> str:
     known = "[" + ", ".join(f"'{k}'" for k in gate.KNOWN_IDS) + "]"
     return rf"""SELECT doc_id, reason = 'ok' AS ok, reason FROM (SELECT doc_id, CASE WHEN n < 120 THEN 'short(' || n || ')' WHEN n > 600 THEN 'long(' || n || ')' {banned}
  WHEN regexp_matches(text, '\bVDB-\d+\b') THEN 'fake_vdb' WHEN len(odd) > 0 THEN 'fake_cve:' || odd[1] ELSE 'ok' END AS reason
- FROM (SELECT doc_id, text, len({_WORDS}) AS n, list_filter(regexp_extract_all(text, '\bCVE-\d{{4}}-\d{{4,}}\b'), lambda x: NOT list_contains({known}, x)) AS odd FROM documents))"""
+ FROM (SELECT doc_id, text, len({WORDS}) AS n, list_filter(regexp_extract_all(text, '\bCVE-\d{{4}}-\d{{4,}}\b'), lambda x: NOT list_contains({known}, x)) AS odd FROM documents))"""
 
 
 @query(_gate_sql())
@@ -280,8 +250,8 @@ def quality_gate(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", gate.reason(F.col("text")).alias("reason")).select("doc_id", (F.col("reason") == "ok").alias("ok"), "reason")
 
 
-@query(f"""WITH d AS (SELECT doc_id, {_ALPHA} AS w FROM documents), g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 4)),
- b AS (SELECT {_ALPHA} AS w FROM benchmark), p AS (SELECT DISTINCT array_to_string(w[i:i + 3], ' ') AS gram FROM (SELECT w, unnest(range(1, len(w) - 2)) AS i FROM b WHERE len(w) >= 4))
+@query(f"""WITH d AS (SELECT doc_id, {ALPHA} AS w FROM documents), g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 4)),
+ b AS (SELECT {ALPHA} AS w FROM benchmark), p AS (SELECT DISTINCT array_to_string(w[i:i + 3], ' ') AS gram FROM (SELECT w, unnest(range(1, len(w) - 2)) AS i FROM b WHERE len(w) >= 4))
  SELECT d.doc_id, count(g.gram) AS grams, count(p.gram) AS seen, round(count(p.gram) / greatest(count(g.gram), 1), 6) AS overlap FROM d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN p ON g.gram = p.gram GROUP BY d.doc_id""")
 def shingle_containment(spark, sf_dir):
     return corpus.shingle_overlap(docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
@@ -301,8 +271,9 @@ def gate_sequential(spark, sf_dir):
 # Scanner
 
 _LINES = r"lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS code FROM documents), kept AS (SELECT * FROM lines WHERE NOT regexp_matches(code, '^\s*(//|#|\*)'))"
-#: RE2 has no lookahead: the SQL is without the one rule that needs it, the queries have it.
-_SCAN = ", hits AS (" + " UNION ALL ".join(f"SELECT doc_id, {i} AS rule_id, '{c}' AS category, '{s}' AS severity, len(regexp_extract_all(code, $re$(?i){p}$re$)) AS n FROM kept" for i, (c, s, p) in enumerate(scanner.RULES) if "(?!" not in p) + ")"
+#: RE2 has no lookahead. The one rule with it backs off over white space, so it fails only right before a quote and "<".
+_RE2 = [p.replace(r"""\s*(?!['"]<)""", r"""(?:\s|[^'"\s]|['"](?:[^<]|$)|$)""") for _, _, p in scanner.RULES]
+_SCAN = ", hits AS (" + " UNION ALL ".join(f"SELECT doc_id, {i} AS rule_id, '{c}' AS category, '{s}' AS severity, len(regexp_extract_all(code, $re$(?i){p}$re$)) AS n FROM kept" for i, ((c, s, _), p) in enumerate(zip(scanner.RULES, _RE2, strict=True))) + ")"
 
 
 @query(f"WITH {_LINES}{_SCAN} SELECT doc_id, rule_id, category, severity, CAST(sum(n) AS BIGINT) AS n_hits FROM hits WHERE n > 0 GROUP BY ALL")
@@ -315,7 +286,18 @@ def severity_breakdown(spark, sf_dir):
     return code_scan_counts(spark, sf_dir).groupBy("severity").agg(F.sum("n_hits").alias("n")).withColumn("level", scanner.level(F.col("severity")))
 
 
-@query()
+def _findings_sql() -> str:
+    """Places from what stands before each match: a lazy prefix and the match, one behind the other, make up a line's start."""
+    said = " UNION ALL ".join(f"SELECT doc_id, line, code, {i} AS rule_id, regexp_extract_all(code, $re$(?i)(.*?)(?:{p})$re$, 0) AS upto, regexp_extract_all(code, $re$(?i)(.*?)(?:{p})$re$, 1) AS ahead FROM kept" for i, p in enumerate(_RE2))
+    rules = ", ".join(f"({i}, '{c}', '{s}', $m${m}$m$)" for i, ((c, s, _), m) in enumerate(zip(scanner.RULES, scanner.MESSAGES, strict=True)))
+    return rf"""WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS code, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM documents),
+ kept AS (SELECT * FROM lines WHERE NOT regexp_matches(code, '^\s*(//|#|\*)')), found AS ({said}),
+ every AS (SELECT *, unnest(range(1, len(upto) + 1)) AS k FROM found WHERE len(upto) > 0)
+ SELECT doc_id, e.rule_id, CAST(line AS INTEGER) AS line, CAST(list_sum(list_transform(upto[1:k - 1], lambda x: length(x))) + length(ahead[k]) + 1 AS INTEGER) AS "column", category, severity, description, regexp_replace(code, '\A{W}+|{W}+\z', '', 'g') AS code
+ FROM (SELECT *, CASE WHEN k = 1 THEN 0 END AS z FROM every) e JOIN (VALUES {rules}) r(rule_id, category, severity, description) ON e.rule_id = r.rule_id""".replace("list_sum(list_transform(upto[1:k - 1], lambda x: length(x)))", "coalesce(list_sum(list_transform(upto[1:k - 1], lambda x: length(x))), 0)")
+
+
+@query(_findings_sql())
 def code_scan_findings(spark, sf_dir):
     return scanner.findings(docs(spark, sf_dir), "doc_id")
 
@@ -323,13 +305,13 @@ def code_scan_findings(spark, sf_dir):
 # Tokens
 
 
-@query(f"SELECT doc_id, CAST(k AS INTEGER) AS chunk_no, CAST(len(t[k * 960 + 1:k * 960 + 1024]) AS BIGINT) AS chunk_len, t[k * 960 + 1] AS first_tok FROM (SELECT doc_id, t, unnest(range(0, CAST(ceil(greatest(len(t) - 1024, 0) / 960.0) AS BIGINT) + 1)) AS k FROM (SELECT doc_id, {_TOKENS} AS t FROM documents))")
+@query(f"SELECT doc_id, CAST(k AS INTEGER) AS chunk_no, CAST(len(t[k * 960 + 1:k * 960 + 1024]) AS BIGINT) AS chunk_len, t[k * 960 + 1] AS first_tok FROM (SELECT doc_id, t, unnest(range(0, CAST(ceil(greatest(len(t) - 1024, 0) / 960.0) AS BIGINT) + 1)) AS k FROM (SELECT doc_id, {TOKENS} AS t FROM documents))")
 def token_chunks(spark, sf_dir):
     rows = docs(spark, sf_dir).select("doc_id", F.posexplode(tokens.chunks(tokens.word_lengths(F.col("text")))).alias("chunk_no", "c"))
     return rows.select("doc_id", "chunk_no", F.size("c").cast("long").alias("chunk_len"), F.get("c", F.lit(0)).alias("first_tok"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS tok, generate_subscripts({_TOKENS}, 1) AS i FROM documents), f AS (SELECT tok, row_number() OVER (ORDER BY doc_id, i) - 1 AS p, lead(tok, 1, -1) OVER (ORDER BY doc_id, i) AS nxt, count(*) OVER () AS n FROM t)
+@query(f"""WITH t AS (SELECT doc_id, unnest({TOKENS}) AS tok, generate_subscripts({TOKENS}, 1) AS i FROM documents), f AS (SELECT tok, row_number() OVER (ORDER BY doc_id, i) - 1 AS p, lead(tok, 1, -1) OVER (ORDER BY doc_id, i) AS nxt, count(*) OVER () AS n FROM t)
 SELECT CAST(p // 128 AS BIGINT) AS idx, CAST(sum(tok) AS BIGINT) AS x_sum, CAST(sum(nxt) AS BIGINT) AS y_sum, CAST(sum(CASE WHEN nxt = -1 THEN 1 ELSE 0 END) AS BIGINT) AS n_pad FROM f WHERE (p // 128 + 1) * 128 <= n GROUP BY 1""")
 def packed_samples(spark, sf_dir):
     rows = tokens.packed(docs(spark, sf_dir).select("doc_id", tokens.word_lengths(F.col("text")).alias("t")), "doc_id", "t", 128)
@@ -337,7 +319,7 @@ def packed_samples(spark, sf_dir):
     return rows.select("idx", total("x").alias("x_sum"), total("y").alias("y_sum"), F.size(F.filter("y", lambda v: v == tokens.IGNORE)).cast("long").alias("n_pad"))
 
 
-@query(f"SELECT doc_id, CAST(max(n) OVER (PARTITION BY doc_id // 8) - n AS BIGINT) AS pad_count, CAST(n AS BIGINT) AS mask_sum FROM (SELECT doc_id, len({_TOKENS}) AS n FROM documents)")
+@query(f"SELECT doc_id, CAST(max(n) OVER (PARTITION BY doc_id // 8) - n AS BIGINT) AS pad_count, CAST(n AS BIGINT) AS mask_sum FROM (SELECT doc_id, len({TOKENS}) AS n FROM documents)")
 def batch_padding(spark, sf_dir):
     rows = docs(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 8).alias("b"), tokens.word_lengths(F.col("text")).alias("t"))
     out = tokens.padded(rows, "t", "b", model.SPECIAL_IDS["PAD"])
@@ -349,7 +331,7 @@ def batch_assign(spark, sf_dir):
     return tokens.batches(docs(spark, sf_dir).select("doc_id"), "doc_id", 32, True).groupBy("batch_no").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT doc_id, CAST(n // 128 + CASE WHEN n % 128 >= 2 THEN 1 ELSE 0 END AS BIGINT) AS n_windows, CAST(n // 128 * 127 + CASE WHEN n % 128 >= 2 THEN n % 128 - 1 ELSE 0 END AS BIGINT) AS n_scored FROM (SELECT doc_id, len({_TOKENS}) AS n FROM documents)")
+@query(f"SELECT doc_id, CAST(n // 128 + CASE WHEN n % 128 >= 2 THEN 1 ELSE 0 END AS BIGINT) AS n_windows, CAST(n // 128 * 127 + CASE WHEN n % 128 >= 2 THEN n % 128 - 1 ELSE 0 END AS BIGINT) AS n_scored FROM (SELECT doc_id, len({TOKENS}) AS n FROM documents)")
 def eval_windows(spark, sf_dir):
     rows = docs(spark, sf_dir).select("doc_id", tokens.windows(tokens.word_lengths(F.col("text")), 128).alias("w"))
     return rows.select("doc_id", F.size("w").cast("long").alias("n_windows"), F.aggregate("w", F.lit(0).cast("long"), lambda a, v: a + F.size(v["y"])).alias("n_scored"))
@@ -358,7 +340,7 @@ def eval_windows(spark, sf_dir):
 # Evaluation: scores are made up from ids, as no model runs here
 
 
-@query(f"SELECT source, round(exp(sum(loss * n) / sum(n)), 6) AS ppl FROM (SELECT source, len({_WORDS}) AS n, (length(text) % 13) / 10.0::DOUBLE AS loss FROM documents) WHERE n >= 10 GROUP BY source")
+@query(f"SELECT source, round(exp(sum(loss * n) / sum(n)), 6) AS ppl FROM (SELECT source, len({WORDS}) AS n, (length(text) % 13) / 10.0::DOUBLE AS loss FROM documents) WHERE n >= 10 GROUP BY source")
 def perplexity(spark, sf_dir):
     rows = docs(spark, sf_dir).select("source", F.size(text.words(F.col("text"))).alias("n"), (F.length("text") % 13 / F.lit(10.0)).alias("loss")).where("n >= 10")
     return rows.groupBy("source").agg(F.round(model.perplexity(F.col("loss"), F.col("n")), 6).alias("ppl"))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderfold.functions.text import clean_text
+from cinderfold.functions.text import clean_text, strip
 from cinderfold.operators.corpus import first_wins
-from cinderfold.sources.files import cyclic
+from cinderfold.sources.files import cyclic, write_document
 
 #: Public weakness ids in order, with our own words on each. The ids are fixed values.
 WEAKNESSES = [
@@ -68,20 +69,55 @@ def from_templates(spark: SparkSession, templates: list[str], n: int, prefix: st
     return row.select(F.concat(F.lit(prefix), F.col("id")).alias("id"), F.replace(F.col("t"), F.lit("{n}"), F.col("id").cast("string")).alias("text"), F.lit(source).alias("source"))
 
 
+#: Topics of challenge texts, with two facts on each; templates of techniques and patterns. Our own words.
+TOPICS = {
+    "web": ("a form that trusts its hidden fields", "a session cookie that can be guessed"),
+    "binary": ("a buffer shorter than what is read into it", "a format string that the user writes"),
+    "crypto": ("a modulus whose factors lie close together", "a key stream that is used twice"),
+    "reversing": ("a check that compares one letter at a time", "a loop that unpacks the rest of the program"),
+    "forensics": ("a picture with bytes behind its end", "a deleted file that the disk still holds"),
+    "network": ("a capture in which names carry the data", "a service that answers before it asks who calls"),
+    "cloud": ("a bucket that anybody may list", "a token with more rights than its task"),
+    "mobile": ("a store whose key lies beside it", "a link handler that opens any address"),
+    "hardware": ("a debug port that was left open", "a power trace that shows each bit of the key"),
+    "misc": ("a puzzle hidden in white space", "a jail whose rules forget one function"),
+}
+TECHNIQUES = [f"Record {{n}} of the technique {name}: {what}." for name, what in (("discovery", "the intruder lists what the host can reach before any other step"), ("persistence", "a start-up entry brings the program back after each restart"), ("evasion", "the program hides among processes that nobody looks at"), ("collection", "files of interest are gathered in one folder to be taken away"), ("exfiltration", "data leave in small pieces among ordinary requests"), ("escalation", "a service that runs with more rights is made to run a command"), ("movement", "stolen credentials open the next host in the network"), ("impact", "data are made unusable so that their owner has to pay"))]
+PATTERNS = [f"Record {{n}} of the attack pattern {name}: {what}." for name, what in (("flooding", "more requests come than the service can answer"), ("spoofing", "a message claims a sender that it doesn't have"), ("probing", "odd input is sent to learn from the errors that come back"), ("tampering", "a value is changed between its check and its use"), ("guessing", "many secrets are tried until one of them opens the door"))]
+
+
+def challenge_texts() -> list[str]:
+    """21 texts on the topics: two on each and one on them all."""
+    own = [f"A challenge on {topic}: it starts from {fact}, and the flag is found by following that to its end." for topic, facts in TOPICS.items() for fact in facts]
+    return [*own, f"A challenge on {', '.join(TOPICS)}: every step gives the key to the next one."]
+
+
+def fallback(spark: SparkSession, source: str) -> DataFrame:
+    """id, text, source of the records that stand in for a source that can't be reached: 200 techniques (8 templates in
+    turn), 200 attack patterns (5), or the 21 challenge texts, each once, in an order that hangs on the seed 42."""
+    if source == "ctf":
+        texts = challenge_texts()
+        return seeded_order(unique_texts(from_templates(spark, texts, len(texts), "ctf-", source)), "id")
+    return from_templates(spark, {"mitre_attack": TECHNIQUES, "capec": PATTERNS}[source], 200, f"{source}-", source)
+
+
 def unique_texts(records: DataFrame, order: str = "id") -> DataFrame:
     """The first record of each text, case and outer white space aside."""
-    return first_wins(records.withColumn("_h", F.md5(F.lower(F.trim("text")).cast("binary"))), ["_h"], [order]).drop("_h")
+    return first_wins(records.withColumn("_h", F.md5(F.lower(strip(F.coalesce("text", F.lit("")))).cast("binary"))), ["_h"], [order]).drop("_h")
 
 
-def generated(prompts: DataFrame, transport: Callable[[str], str], attempts: int = 3) -> DataFrame:
-    """prompts (id, prompt) with text from any transport; a prompt that fails every attempt has null text and its error."""
+def generated(prompts: DataFrame, transport: Callable[[str], str], attempts: int = 3, wait: float = 5.0) -> DataFrame:
+    """prompts (id, prompt) with text from any transport, `wait` seconds between attempts; a prompt that fails every one
+    has null text and its error."""
 
     def run(frames: Iterator) -> Iterator:
         for frame in frames:
             texts, errors = [], []
             for prompt in frame["prompt"]:
                 text, error = None, None
-                for _ in range(attempts):
+                for i in range(attempts):
+                    if i:
+                        time.sleep(wait)
                     try:
                         text, error = transport(prompt), None
                         break
@@ -107,6 +143,14 @@ def required(df: DataFrame, *keys: str) -> DataFrame:
     return df
 
 
+def export(spark: SparkSession, path: str, facts: dict[str, str]) -> DataFrame:
+    """Write what describes the files below a path (facts and their SHA-256) beside them as a document; returns checksums()."""
+    sums = checksums(spark, path)
+    listed = sums.agg(F.to_json(F.sort_array(F.collect_list(F.struct("file", "bytes", "sha256")))).alias("files"))  # one row a file of one export
+    write_document(listed.select(*[F.lit(v).alias(k) for k, v in facts.items()], "files"), f"{path.rstrip('/')}.export.json")
+    return sums
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """file, bytes and sha256 of every file below a path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

@@ -16,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from cinderfold.functions.text import clean_text, cve_year, english_or_first
 from cinderfold.operators.corpus import cap, first_wins
+from cinderfold.sources.files import atom_records
 
 WINDOW_DAYS = 119
 PAGE = 2000
@@ -82,6 +83,48 @@ def paged_source(name: str, windows: list[tuple[str, str, int]], fetch: Callable
     return Paged
 
 
+@dataclass
+class Batch(InputPartition):
+    start: int
+
+
+class _Feed(DataSourceReader):
+    def __init__(self, total: int, batch: int, fetch: Callable[[int, int], str]):
+        self.total, self.batch, self.fetch = total, batch, fetch
+
+    def partitions(self) -> list[Batch]:
+        return [Batch(i) for i in range(0, self.total, self.batch)] or [Batch(0)]
+
+    def read(self, partition: Batch) -> Iterator[tuple]:
+        most = min(self.batch, self.total - partition.start)
+        if most > 0:
+            yield (partition.start, self.fetch(partition.start, most))
+
+
+def feed_source(name: str, total: int, fetch: Callable[[int, int], str], batch: int = 200) -> type[DataSource]:
+    """A data source of Atom pages, one partition a batch of entries: start, page. fetch(start, n) returns a feed."""
+
+    class Feed(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return "start int, page string"
+
+        def reader(self, schema) -> _Feed:
+            return _Feed(total, batch, fetch)
+
+    return Feed
+
+
+def read_feed(spark: SparkSession, name: str, least: int = 100) -> DataFrame:
+    """Records of a registered feed source."""
+    pages = spark.read.format(name).load()
+    entries = pages.select(F.inline(F.from_xml("page", "entry array<struct<id: string, title: string, summary: string>>")["entry"]))
+    return atom_records(entries, least)
+
+
 def read_paged(spark: SparkSession, name: str, existing: DataFrame | None = None, least: int = 50, per_year: int | None = None) -> DataFrame:
     """Records of a registered source: English description if there is one, `least` characters once cleaned, first of
     each id; ids that are in `existing` are left out; at most per_year of each year of the id."""

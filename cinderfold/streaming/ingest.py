@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cinderfold.operators.corpus import first_wins
-from cinderfold.operators.gate import GRAM, OVERLAP, grams_of
+from cinderfold.operators.gate import GRAM, OVERLAP, grams
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -44,10 +44,10 @@ class _Gate(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for row in sorted((r for frame in rows for r in frame.itertuples(index=False)), key=lambda r: r.ord):
-            grams = {" ".join(g) for g in grams_of(row.text or "")}
-            overlap = sum(self.seen.containsKey((g,)) for g in grams) / max(1, len(grams))
+            own = list(row.grams)
+            overlap = sum(self.seen.containsKey((g,)) for g in own) / max(1, len(own))
             if ok := overlap <= OVERLAP:
-                for g in grams:
+                for g in own:
                     self.seen.updateValue((g,), (GRAM,))
             yield pd.DataFrame({"ord": [row.ord], "accepted": [ok], "overlap": [overlap]})
 
@@ -57,7 +57,7 @@ class _Gate(StatefulProcessor):
 
 def gate_stream(stream: DataFrame, order: str, text: str) -> DataFrame:
     """ord, accepted, overlap of a stream of texts in sequence: one key, as each decision hangs on all before it."""
-    rows = stream.select(F.lit(0).alias("k"), F.col(order).cast("long").alias("ord"), F.col(text).alias("text"))
+    rows = stream.select(F.lit(0).alias("k"), F.col(order).cast("long").alias("ord"), grams(F.col(text)).alias("grams"))
     return rows.groupBy("k").transformWithStateInPandas(_Gate(), "ord long, accepted boolean, overlap double", "Append", "None")
 
 

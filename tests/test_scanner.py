@@ -4,8 +4,10 @@ from collections import Counter
 import duckdb
 import pytest
 
+from cinderfold import plans
 from cinderfold.operators import scanner
-from cinderfold.plans import catalogue
+
+catalogue = plans.load()
 
 CODE = """el.innerHTML = user;
   a.innerHTML='<b>'; b.INNERHTML = x; c.innerHTML="<i>"
@@ -50,9 +52,23 @@ def test_severities_of_all_rules(spark, tables):
     assert {r.severity: r.n for r in catalogue.QUERIES["severity_breakdown"](spark, path).collect()} == expected
 
 
-def test_sql_has_all_rules_but_the_lookahead(tables):
+def test_sql_has_all_rules(spark, tables):
     path, rows = tables
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{path}/documents.parquet/*.parquet'")
     got = {(i, n): hits for i, n, _, _, hits in con.execute(catalogue.ORACLE_SQL["code_scan_counts"]).fetchall()}
-    assert got == {k: v for k, v in by_re(rows).items() if "(?!" not in scanner.RULES[k[1]][2]}
+    assert got == by_re(rows)
+
+
+def test_places(spark, tables):
+    path, rows = tables
+    expected = Counter()
+    for i, t in rows:
+        for line, code in enumerate((t or "").split("\n"), 1):
+            for n, (category, severity, p) in enumerate(scanner.RULES) if not re.match(r"\s*(//|#|\*)", code) else ():
+                expected.update((i, n, line, m.start() + 1, category, severity, scanner.MESSAGES[n], code.strip()) for m in re.finditer(p, code, re.IGNORECASE))
+    assert expected[0, 4, 2, 24, "Cross-Site Scripting (XSS)", "HIGH", scanner.MESSAGES[4], CODE.split("\n")[1].strip()] == 1
+    assert Counter(map(tuple, catalogue.QUERIES["code_scan_findings"](spark, path).collect())) == expected
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{path}/documents.parquet/*.parquet'")
+    assert Counter(con.execute(f"select doc_id, rule_id, line, \"column\", category, severity, description, code from ({catalogue.ORACLE_SQL['code_scan_findings']})").fetchall()) == expected
