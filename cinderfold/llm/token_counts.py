@@ -3,11 +3,13 @@
 A pre-token is a word with the mark for the space before it. Distinct pre-tokens go into a trie; the best unigram score
 of a prefix, and the number of pieces that reach it, is worked out once at the trie's node and shared by all pre-tokens
 with that prefix. The node where a pre-token ends gives its count, which is kept by pre-token; a text's count is the sum
-over its words. Nothing is shuffled: each worker grows its own trie, of bounded size.
+over its words. Nothing is shuffled: each worker grows its own trie, of bounded size; a pre-token above LONG characters,
+which hardly shares its prefix, is worked out by the same steps without leaving nodes behind.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from math import inf, log
 
@@ -22,6 +24,7 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: A trie that has grown to so many nodes is given up for a new one.
 MOST_NODES = 500_000
+LONG = 4096
 _SHIFT = 2.7  # of Zipf's law for ranks; no two pieces' product is a third's probability, so counts have no ties
 
 
@@ -48,6 +51,7 @@ class TrieCounts(dict):
         #: Every tail of a piece, with its score if it is a piece itself: no piece ends where a tail is missing.
         self.tails = {piece[i:]: scores.get(piece[i:], -inf) for piece in scores for i in range(len(piece))}
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
+        self.longest = max(map(len, scores), default=1)
         self._plant()
 
     def _plant(self) -> None:
@@ -56,6 +60,8 @@ class TrieCounts(dict):
         self.best, self.pieces = [0.0], [0]
 
     def __missing__(self, word: str) -> int:
+        if len(word) > LONG:
+            return self._long(SPACE + word)
         if len(self.best) >= self.most_nodes or len(self) >= self.most_nodes:
             self._plant()
         text, node, path = SPACE + word, 0, [0]
@@ -82,6 +88,24 @@ class TrieCounts(dict):
         self[word] = pieces[node]
         return pieces[node]
 
+    def _long(self, text: str) -> int:
+        """The count of a pre-token from the last `longest` prefixes' results alone."""
+        near: deque[tuple[float, int]] = deque([(0.0, 0)], maxlen=self.longest)  # results of the prefixes up to here
+        for end, c in enumerate(text, 1):
+            score, count = -inf, 0
+            for back in range(1, min(self.longest, end) + 1):
+                own = self.tails.get(text[end - back : end])
+                if own is None:
+                    break
+                own += near[-back][0]
+                if own > score:
+                    score, count = own, near[-back][1] + 1
+            last = near[-1]
+            if c not in self.scores and last[0] + self.unknown > score:
+                score, count = last[0] + self.unknown, last[1] + len(c.encode())
+            near.append((score, count))
+        return near[-1][1]
+
     def count(self, text: str) -> tuple[int, int]:
         """Words and tokens of a text."""
         words = text.split()

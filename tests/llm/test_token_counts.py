@@ -29,6 +29,18 @@ def test_best_of_all_segmentations(words):
         assert counts[w] == by_trying_all(SPACE + w, SMALL)[1]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abéx汉", max_size=30))
+def test_long_words_count_as_any(word):
+    counts = TrieCounts(SMALL)
+    assert counts._long(SPACE + word) == counts[word]
+
+
+def test_a_very_long_word_leaves_no_nodes():
+    counts = TrieCounts(SMALL)
+    assert counts["ab" * 200_000] == 1 + 200_000 and len(counts.best) == 1 and not counts
+
+
 @pytest.fixture(scope="module")
 def scores():
     return vocabulary(FILE)
