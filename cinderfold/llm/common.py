@@ -16,6 +16,8 @@ from pyspark.sql.types import StructType
 
 #: A batch that goes to a Python worker has at most so many bytes, or one row.
 BATCH_BYTES = "4m"
+#: Rows of a few numbers that may be sent to every task: some 10 MB.
+BROADCAST_ROWS = 1 << 17
 _BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
@@ -121,6 +123,11 @@ def drop_written(df: DataFrame) -> None:
     _LEFT.discard(df.scratch)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, marked for broadcast if its number of rows, which the caller has counted, is at most BROADCAST_ROWS."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """Two longs that rows share only if doc_id and text are equal (null: as -1 and the empty text)."""
     return [F.coalesce(F.col(doc_id), F.lit(-1)).cast("long").alias("k1"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("k2")]

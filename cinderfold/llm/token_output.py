@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cinderfold.llm.common import in_batches, load, scratch_path
+from cinderfold.llm.common import in_batches, load, scratch_path, small
 from cinderfold.llm.encoding import encoder
 
 MAGIC = b"CFTB"
@@ -152,7 +152,7 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema("part int, segment int, part_start long, n_ids long, image binary").parquet(path)
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy("part").agg(F.sum("n_ids").alias("n")).select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
-    return rows.join(F.broadcast(parts), F.col("part") == F.col("p")).select("part", "segment", (F.col("base") + F.col("part_start")).alias("start"), "n_ids", "image")
+    return rows.join(small(parts, parts.count()), F.col("part") == F.col("p")).select("part", "segment", (F.col("base") + F.col("part_start")).alias("start"), "n_ids", "image")
 
 
 def read_documents(segments: DataFrame) -> DataFrame:
