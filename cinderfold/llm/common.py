@@ -117,6 +117,16 @@ def written(df: DataFrame, name: str, compression: str = "zstd", narrow: bool =
     return back
 
 
+def written_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """written() of what make() returns; the tables that it wrote on its way are freed."""
+    before = set(_LEFT)
+    out = written(make(), name)
+    for path in _LEFT - before - {out.scratch}:
+        remove(out.sparkSession, path)
+        _LEFT.discard(path)
+    return out
+
+
 def drop_written(df: DataFrame) -> None:
     """Free the disk of a table from written() that no later step reads."""
     remove(df.sparkSession, df.scratch)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderfold.llm.common import in_batches, load, row_key, written
+from cinderfold.llm.common import drop_written, in_batches, load, row_key, written
 
 LENGTH = 400
 GRAM = 128  # a power of two
@@ -295,10 +295,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", gr
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(), F.col("text").cast("string").alias("text"))
     side = length - GRAM
     found = texts.select("k1", "k2", "text").transform(in_batches, _anchor_rows(length), "g long, c long, k1 long, k2 long, at long")
-    classes = found.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("m"))
-    kinds = classes.groupBy("g").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).where("kinds > 1 or most > 1").select("g", "kinds")
-    classes = classes.join(kinds, "g").where((F.col("kinds") > 1) | (F.col("n") > 1))
-    classes = written(classes.select("g", "c", "n", "kinds", "m.*"), "classes")
+    every = written(found.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("m")).select("g", "c", "n", "m.*"), "every-class")
+    kinds = every.groupBy("g").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).where("kinds > 1 or most > 1").select("g", "kinds")
+    classes = every.join(written(kinds, "kinds"), "g").where((F.col("kinds") > 1) | (F.col("n") > 1))  # both sides as they are read: skew is split
+    classes = written(classes, "classes")
+    drop_written(every)
     todo = classes.where("kinds > 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("g", "c", "at", "kinds")).alias("todo"))
     packed = texts.where(F.octet_length("text") >= length).transform(in_batches, _packed, "doc_id long, k1 long, k2 long, packed binary").drop("doc_id")
     around = packed.join(todo, ["k1", "k2"]).transform(in_batches, _surroundings(length), "g long, c long, k1 long, k2 long, at long, around binary, kinds long")

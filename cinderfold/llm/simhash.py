@@ -223,6 +223,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     linked = linked.join(ids, "label").select("fp", "label", "component_id")
     component = F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id")
     by_fp = distinct.join(linked, "fp", "left").select("fp", F.coalesce("label", "fp").alias("root"), component)
+    by_fp = written(by_fp, "components", narrow=True)  # as it is read, so that a fingerprint of many rows is split
     return rows.join(by_fp, "fp").select("doc_id", "k1", "k2", "fp", "root", "component_id")
 
 
