@@ -39,13 +39,19 @@ def details(results: DataFrame, order: str, by: str = "task") -> DataFrame:
     return rows.select(by, own.alias("correct"), F.size("details").cast("long").alias("total"), (own / F.size("details")).alias("accuracy"), "details")
 
 
-def best_so_far(log: DataFrame, step: str = "step", loss: str = "val_loss") -> DataFrame:
-    """Rows with the least loss up to them; a later equal loss is no new best."""
-    before = Window.orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    log = log.withColumn("best", F.min(loss).over(Window.orderBy(step).rowsBetween(Window.unboundedPreceding, 0)))
+def best_so_far(log: DataFrame, step: str = "step", loss: str = "val_loss", by: list[str] | None = None) -> DataFrame:
+    """Rows with the least loss up to them in their run (by; one run if none is named); a later equal loss is no new best."""
+    run = Window.partitionBy(*(by or [])).orderBy(step)
+    before = run.rowsBetween(Window.unboundedPreceding, -1)
+    log = log.withColumn("best", F.min(loss).over(run.rowsBetween(Window.unboundedPreceding, 0)))
     return log.withColumn("is_best", F.coalesce(F.col(loss) < F.min(loss).over(before), F.lit(True)))
 
 
+def verdict(own: Column, baseline: Column) -> Column:
+    """A lower perplexity is better, an equal one is not."""
+    return F.when(own < baseline, "better").otherwise("not better")
+
+
 def final_metric(value: Column, status: Column, order: Column) -> Column:
     """Aggregate: the last value marked complete, else the last."""
     return F.coalesce(F.max_by(value, F.when(status == "complete", order)), F.max_by(value, order))

@@ -160,10 +160,12 @@ def decade_histogram(spark, sf_dir):
     return year_histogram(spark, sf_dir).groupBy(text.decade(F.col("bucket")).alias("bucket")).agg(F.sum("n").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('CVE-2021-44228 and CVE-1999-1', 2021), ('see CVE-0007-12345', 7), ('cve-2021-1', NULL), (NULL, NULL)) t(text, year)")
+_CVE_TEXT = "CASE doc_id % 4 WHEN 0 THEN 'CVE-' || (1999 + doc_id % 27) || '-' || doc_id || ' and CVE-1999-1' WHEN 1 THEN 'see CVE-0007-' || doc_id WHEN 2 THEN 'cve-2021-1' END"
+
+
+@query(f"SELECT doc_id, CAST(nullif(regexp_extract(t, 'CVE-(\\d{{4}})-\\d+', 1), '') AS INTEGER) AS year FROM (SELECT doc_id, {_CVE_TEXT} AS t FROM documents)")
 def cve_years(spark, sf_dir):
-    rows = spark.createDataFrame([("CVE-2021-44228 and CVE-1999-1",), ("see CVE-0007-12345",), ("cve-2021-1",), (None,)], "text string")
-    return rows.select("text", text.cve_year(F.col("text")).alias("year"))
+    return docs(spark, sf_dir).select("doc_id", text.cve_year(F.expr(_CVE_TEXT)).alias("year"))
 
 
 # Audit
@@ -378,33 +380,44 @@ def param_count(spark, sf_dir):
     return rows.select("preset", model.parameters(F.col("l"), F.col("d"), F.col("f")).alias("n")).withColumn("size", model.readable(F.col("n")))
 
 
-_LOG = [(2000, 5.5, None), (4000, 4.25, None), (6000, 4.25, None), (8000, 4.5, None), (10000, 3.75, None), (10000, 3.8125, "complete")]
-_LOG_SQL = "(VALUES (0, 2000, 5.5::DOUBLE, NULL), (1, 4000, 4.25, NULL), (2, 6000, 4.25, NULL), (3, 8000, 4.5, NULL), (4, 10000, 3.75, NULL), (5, 10000, 3.8125, 'complete')) l(ord, step, val_loss, status)"
+_LOG_SQL = "(SELECT user_id AS run, event_id AS step, floor(value) / 4 AS val_loss, CASE WHEN event_id % 9 = 0 THEN 'complete' END AS status FROM events) l"
 
 
-def _log(spark):
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(_LOG)], "ord int, step int, val_loss double, status string")
+def _log(spark, sf_dir):
+    """A made-up log of as many runs as there are users."""
+    rows = table(spark, sf_dir, "events")
+    return rows.select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), (F.floor("value") / 4).alias("val_loss"), F.when(F.col("event_id") % 9 == 0, "complete").alias("status"))
 
 
-@query(f"SELECT ord, step, min(val_loss) OVER (ORDER BY ord) AS best, coalesce(val_loss < min(val_loss) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS is_best FROM {_LOG_SQL}")
+@query(f"SELECT run, step, min(val_loss) OVER (PARTITION BY run ORDER BY step) AS best, coalesce(val_loss < min(val_loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS is_best FROM {_LOG_SQL}")
 def best_so_far(spark, sf_dir):
-    return evaluation.best_so_far(_log(spark), step="ord").select("ord", "step", "best", "is_best")
+    return evaluation.best_so_far(_log(spark, sf_dir), by=["run"]).select("run", "step", "best", "is_best")
 
 
-@query(f"SELECT coalesce((SELECT val_loss FROM {_LOG_SQL} WHERE status = 'complete' ORDER BY ord DESC LIMIT 1), (SELECT val_loss FROM {_LOG_SQL} ORDER BY ord DESC LIMIT 1)) AS final_loss")
+@query(f"SELECT run, coalesce(arg_max(val_loss, step) FILTER (WHERE status = 'complete'), arg_max(val_loss, step)) AS final_loss FROM {_LOG_SQL} GROUP BY run")
 def final_metric(spark, sf_dir):
-    return _log(spark).agg(evaluation.final_metric(F.col("val_loss"), F.col("status"), F.col("ord")).alias("final_loss"))
+    return _log(spark, sf_dir).groupBy("run").agg(evaluation.final_metric(F.col("val_loss"), F.col("status"), F.col("step")).alias("final_loss"))
 
 
-@query("SELECT phase, val_loss, accuracy FROM (VALUES ('phase1', 2.74::DOUBLE, 0.133333::DOUBLE), ('phase2', 3.7813, NULL), ('phase3', 3.4458, 0.25)) p(phase, val_loss, accuracy)")
+@query("""WITH l AS (SELECT lang AS phase, doc_id, (length(text) % 13) / 10.0::DOUBLE AS val_loss, doc_id % 50 = 0 AS done FROM documents), f AS (SELECT phase, coalesce(arg_max(val_loss, doc_id) FILTER (WHERE done), arg_max(val_loss, doc_id)) AS val_loss FROM l GROUP BY phase),
+ t AS (SELECT lang AS phase, round(avg(CASE WHEN quality = doc_id % 2 THEN 1 ELSE 0 END), 6) AS accuracy FROM documents JOIN labels USING (doc_id) WHERE lang <> 'en' GROUP BY lang) SELECT f.phase, val_loss, accuracy FROM f LEFT JOIN t ON f.phase = t.phase""")
 def phase_comparison(spark, sf_dir):
-    logs = spark.createDataFrame([("phase1", 0, 2.74, "complete"), ("phase1", 1, 9.0, None), ("phase2", 0, 4.0, None), ("phase2", 1, 3.7813, None), ("phase3", 0, 3.4458, "complete")], "phase string, ord int, val_loss double, status string")
-    tasks = spark.createDataFrame([("phase1", 2, 10), ("phase1", 1, 10), ("phase1", 1, 10), ("phase3", 1, 4)], "phase string, correct int, total int")
-    final = logs.groupBy("phase").agg(evaluation.final_metric(F.col("val_loss"), F.col("status"), F.col("ord")).alias("val_loss"))
-    right = tasks.groupBy("phase").agg(F.round(F.sum("correct") / F.sum("total"), 6).alias("accuracy"))
+    rows = docs(spark, sf_dir).withColumnRenamed("lang", "phase")
+    log = rows.select("phase", "doc_id", (F.length("text") % 13 / F.lit(10.0)).alias("val_loss"), F.when(F.col("doc_id") % 50 == 0, "complete").alias("status"))
+    final = log.groupBy("phase").agg(evaluation.final_metric(F.col("val_loss"), F.col("status"), F.col("doc_id")).alias("val_loss"))
+    answers = rows.select("phase", "doc_id").join(table(spark, sf_dir, "labels"), "doc_id").where("phase <> 'en'")  # one phase has no results
+    right = answers.groupBy("phase").agg(F.round(F.avg((F.col("quality") == F.col("doc_id") % 2).cast("int")), 6).alias("accuracy"))
     return final.join(right, "phase", "left")
 
 
+@query(f"""WITH r AS (SELECT source, len({WORDS}) AS n, (length(text) % 13) / 10.0::DOUBLE AS loss, (length(text) % 11) / 9.0::DOUBLE AS other FROM documents), p AS (SELECT source, round(exp(sum(loss * n) / sum(n)), 6) AS ppl, round(exp(sum(other * n) / sum(n)), 6) AS baseline FROM r GROUP BY source)
+SELECT source, CASE WHEN ppl < baseline THEN 'better' ELSE 'not better' END AS verdict, ppl, baseline FROM p""")
+def baseline_verdict(spark, sf_dir):
+    rows = docs(spark, sf_dir).select("source", F.size(text.words(F.col("text"))).alias("n"), (F.length("text") % 13 / F.lit(10.0)).alias("loss"), (F.length("text") % 11 / F.lit(9.0)).alias("other"))
+    per = rows.groupBy("source").agg(F.round(model.perplexity(F.col("loss"), F.col("n")), 6).alias("ppl"), F.round(model.perplexity(F.col("other"), F.col("n")), 6).alias("baseline"))
+    return per.select("source", evaluation.verdict(F.col("ppl"), F.col("baseline")).alias("verdict"), "ppl", "baseline")
+
+
 @query("SELECT conv_id, turn, contains(lower(text), 'en') OR contains(lower(text), 'the') AS hit FROM conversations")
 def answer_hits(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", evaluation.names_any(F.col("text"), F.lit("EN"), F.lit("The"), F.lit("")).alias("hit"))
