@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderfold.functions.text import NOT_SPACE, alphabetic, content_hash, cve_year, decade, hash_bucket, is_validation, runs, shingles, words
+from cinderfold.functions.text import NOT_SPACE, alphabetic, bind, content_hash, cve_year, decade, hash_bucket, is_validation, runs, shingles, words
 
 
 #: Word pairs of items that may be written into a plan.
@@ -113,10 +113,12 @@ def percentiles(c: Column, ps: tuple[float, ...]) -> list[Column]:
 
 def labelled(text: Column, keywords: dict[str, list[str]]) -> Column:
     """All labels with a keyword in the lower-cased text, or none."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    hits = [F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(k)) for k in ks]), F.lit(label)) for label, ks in keywords.items()]
-    found = F.array_compact(F.array(*hits))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("none")))
+
+    def of(low: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(k)) for k in ks]), F.lit(label)) for label, ks in keywords.items()]))
+
+    found = bind(F.lower(F.coalesce(text, F.lit(""))), of)
+    return bind(found, lambda hits: F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit("none"))))
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinderfold.functions.text import bind
+
 #: Labels in the order that breaks ties. Fixed values.
 SEVERITIES = ["Critical", "High", "Medium", "Low"]
 
@@ -67,8 +69,7 @@ def top_k_softmax(logits: DataFrame, by: str, k: int, logit: str = "logit") -> D
 
 def names_any(output: Column, *names: Column) -> Column:
     """Whether the lower-cased output holds any of the names; empty and null names don't count."""
-    low = F.lower(F.coalesce(output, F.lit("")))
-    return reduce(lambda a, b: a | b, [F.coalesce(F.contains(low, F.nullif(F.lower(n), F.lit(""))), F.lit(False)) for n in names])
+    return bind(F.lower(F.coalesce(output, F.lit(""))), lambda low: reduce(lambda a, b: a | b, [F.coalesce(F.contains(low, F.nullif(F.lower(n), F.lit(""))), F.lit(False)) for n in names]))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:

@@ -72,3 +72,18 @@ def test_places(spark, tables):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{path}/documents.parquet/*.parquet'")
     assert Counter(con.execute(f"select doc_id, rule_id, line, \"column\", category, severity, description, code from ({catalogue.ORACLE_SQL['code_scan_findings']})").fetchall()) == expected
+
+
+LINES = [
+    ["exec(a + req)", "x = EXECUTE b + user"], ["f'SELECT {a}'"], [".FORMAT(x) DELETE"], ["query(`${a}"], ["innerHTML = x"], ["document.write("], ["dangerouslySetInnerHTML"], [".html( user"],
+    ["spawn(a + input)", "system(x + params", "popen(+req", "exec(+user"], ["child_process.x exec(`"], ["os.system(argv"], ["subprocess.run(a, shell=True"],
+    [f"{w}='12345678'" for w in ("password", "passwd", "secret", "api_key", "apikey", "token", "auth")], ["AWS_SECRET", "PRIVATE_KEY", "-----BEGIN EC PRIVATE KEY"], ["verify=False", "ssl = False", "TLS=false"],
+    ["CORS( * )", "Access-Control-Allow-Origin: *"], ["debug = true"], ["readFile(req", "readFileSync(req", "open(user", "fopen(query"], ["../", "..\\", "..%2F", "..%2f"],
+]
+
+
+def test_every_rule_has_what_it_needs(spark):
+    rows = [(f"{n}-{i}", line) for n, own in enumerate(LINES) for i, line in enumerate(own)]
+    got = {(r.id, r.rule_id) for r in scanner.rule_counts(spark.createDataFrame([*rows, ("none", None), ("empty", "")], "id string, text string"), "id").collect()}
+    assert len(LINES) == len(scanner.RULES) == len(scanner.NEEDS) == len(scanner.MESSAGES)
+    assert got == {(i, n) for i, line in rows for n, (_, _, p) in enumerate(scanner.RULES) if re.search(p, line, re.IGNORECASE)} and {(i, int(i.split("-")[0])) for i, _ in rows} <= got
