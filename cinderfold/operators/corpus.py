@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderfold.functions.text import NOT_SPACE, alphabetic, bind, content_hash, cve_year, decade, hash_bucket, is_validation, runs, shingles, words
+from cinderfold.functions.text import NOT_SPACE, alphabetic, bind, content_hash, cve_year, decade, hash_bucket, is_validation, shingles, words
 
 
-#: Word pairs of items that may be written into a plan.
-KNOWN_PAIRS = 4096
+#: Words of items that may be written into a plan.
+KNOWN_WORDS = 4096
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -76,15 +76,13 @@ def most_common(df: DataFrame, by: str, order: str) -> DataFrame:
 def top_words(docs: DataFrame, k: int, order: str = "doc_id", text: str = "text") -> DataFrame:
     """rank, word, n of the k commonest words; of words that are as common, the one that stands first in the corpus.
 
-    Places within a text are looked up for the words that may be among the k only, in the text that has them first.
+    order is a whole number; with a place in the text it makes one number, so that the aggregation stays a hashed one.
     """
-    own = words(F.col(text))
-    counts = docs.select(order, F.explode(own).alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.min(order).alias("_first"))
-    edge = counts.orderBy(F.desc("n")).limit(k).agg(F.min("n").alias("_edge"))  # one row
-    some = counts.crossJoin(F.broadcast(edge)).where("n >= _edge").drop("_edge")
-    placed = some.join(docs.select(F.col(order).alias("_first"), own.alias("_w")), "_first").groupBy("word", "n", "_first").agg(F.min(F.array_position("_w", F.col("word"))).alias("_at"))
-    top = placed.orderBy(F.desc("n"), "_first", "_at").limit(k)
-    return top.select(F.row_number().over(Window.orderBy(F.desc("n"), "_first", "_at")).alias("rank"), "word", "n")  # of k rows
+    start = (F.coalesce(F.col(order), F.lit(-1)).cast("decimal(20,0)") * F.lit(1 << 32)).cast("decimal(38,0)")
+    own = docs.select(start.alias("_o"), F.posexplode(words(F.col(text))).alias("_i", "word"))
+    counts = own.groupBy("word").agg(F.count("*").alias("n"), F.min((F.col("_o") + F.col("_i")).cast("decimal(38,0)")).alias("_first"))
+    top = counts.orderBy(F.desc("n"), "_first").limit(k)
+    return top.select(F.row_number().over(Window.orderBy(F.desc("n"), "_first")).alias("rank"), "word", "n")  # of k rows
 
 
 def year_audit(ids: DataFrame, ident: str = "id", top: int = 5) -> DataFrame:
@@ -128,24 +126,24 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 def contains_any(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """Pairs of document and item whose text the document holds.
 
-    Items of four words or more are looked up by their second and third word, which stand whole in any text that holds
-    the item. If the items have at most KNOWN_PAIRS such pairs, texts without any are dropped as they are read, and no pair
-    of the corpus is shuffled; else the join is by pair and only its hits are compared. Shorter items, if there are any,
-    are compared with every text.
+    Items of three words or more are looked up by the longest of their inner words, which stand whole in any text that
+    holds the item. If the items have at most KNOWN_WORDS such words, texts without any are dropped as they are read, and
+    no word of the corpus is shuffled; else the join is by word and only its hits are compared. Shorter items, if there
+    are any, are compared with every text.
     """
     cut = lambda c: F.regexp_extract_all(c, F.lit(f"{NOT_SPACE}+"), F.lit(0))
     own = items.where(F.col(text).isNotNull()).select(F.col(item_id), F.col(text).alias("_item"), cut(F.col(text)).alias("_w"))
-    long = own.where(F.size("_w") >= 4).select(item_id, "_item", F.array_join(F.slice("_w", 2, 2), " ").alias("_pair"))
+    inner = F.transform(F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    long = own.where(F.size("_w") >= 3).select(item_id, "_item", F.array_max(inner)["w"].alias("_key"))
     texts = docs.where(F.col(text).isNotNull()).select(doc_id, F.col(text).alias("_text"))
-    short = own.where((F.size("_w") < 4) & (F.length("_item") > 0)).select(item_id, "_item")
-    known = [r["_pair"] for r in long.select("_pair").distinct().limit(KNOWN_PAIRS + 1).collect()]
-    if len(known) <= KNOWN_PAIRS:
+    short = own.where((F.size("_w") < 3) & (F.length("_item") > 0)).select(item_id, "_item")
+    known = [r["_key"] for r in long.select("_key").distinct().limit(KNOWN_WORDS + 1).collect()]
+    if len(known) <= KNOWN_WORDS:
         some = F.array(*map(F.lit, known)) if known else F.array().cast("array<string>")
-        held = texts.select(doc_id, "_text", F.array_intersect(runs(cut(F.col("_text")), 2), some).alias("_pairs")).where(F.size("_pairs") > 0)
-        hits = held.select(doc_id, "_text", F.explode("_pairs").alias("_pair")).join(long, "_pair").where(F.contains("_text", "_item")).select(doc_id, item_id)
+        held = texts.select(doc_id, "_text", F.array_intersect(cut(F.col("_text")), some).alias("_keys")).where(F.size("_keys") > 0)
+        hits = held.select(doc_id, "_text", F.explode("_keys").alias("_key")).join(long, "_key").where(F.contains("_text", "_item")).select(doc_id, item_id)
         return _with_short(hits, texts, short, doc_id, item_id)
-    pairs = texts.select(doc_id, F.explode(F.array_distinct(runs(cut(F.col("_text")), 2))).alias("_pair"))
-    keys = pairs.join(long, "_pair").select(doc_id, item_id, "_item")
+    keys = texts.select(doc_id, F.explode(F.array_distinct(cut(F.col("_text")))).alias("_key")).join(long, "_key").select(doc_id, item_id, "_item")
     hits = keys.join(texts, doc_id).where(F.contains("_text", "_item")).select(doc_id, item_id)
     return _with_short(hits, texts, short, doc_id, item_id)
 

@@ -77,7 +77,7 @@ def test_contains_any_by_either_way(spark, monkeypatch):
     items = spark.createDataFrame([(1, "two three four five"), (2, "one two three four"), (3, "five"), (4, None), (5, ""), (6, "b  c d"), (7, "no such words here")], "item_id long, text string")
     expected = {(d.doc_id, i.item_id) for d in docs.collect() for i in items.collect() if d.text is not None and i.text and i.text in d.text}
     assert {tuple(r) for r in corpus.contains_any(docs, items).collect()} == expected
-    monkeypatch.setattr(corpus, "KNOWN_PAIRS", 1)
+    monkeypatch.setattr(corpus, "KNOWN_WORDS", 1)
     assert {tuple(r) for r in corpus.contains_any(docs, items).collect()} == expected
     assert corpus.contains_any(docs, items.limit(0)).count() == 0
 
