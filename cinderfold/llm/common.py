@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import uuid
 from collections.abc import Callable, Hashable, Iterator
 from functools import partial
 from typing import Any
@@ -14,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cinderfold.sources.scratch import drop, left, scratch
+
 #: A batch that goes to a Python worker has at most so many bytes, or one row.
 BATCH_BYTES = "4m"
 #: Rows of a few numbers that may be sent to every task: some 10 MB.
@@ -62,55 +62,17 @@ def _give_back() -> None:
         pass
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it.
-
-    Only where that is unset and all runs on one machine, as in tests, a folder of our own is set.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir: name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir("/tmp/cinderfold-checkpoints")
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a written table through the file system that Spark uses."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-_LEFT: set[str] = set()
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is left there goes when the driver's process ends in good order."""
-    path = f"{shared_dir(spark)}/cinderfold-{name}-{uuid.uuid4().hex}"
-    if not _LEFT:
-        atexit.register(_remove_left, spark)
-    _LEFT.add(path)
-    return path
-
-
-def _remove_left(spark: SparkSession) -> None:
-    if spark.sparkContext._jsc is not None:
-        for path in _LEFT:
-            remove(spark, path)
-
-
 def written(df: DataFrame, name: str, compression: str = "zstd", narrow: bool = False) -> DataFrame:
     """Cut lineage: write to the shared folder, read back. Survives the loss of any executor.
 
-    narrow: for tables of a few numbers or words a row, which two files a core hold with ease: partitions follow one
-    another in a task, and many small files help nobody.
+    narrow: for tables of a few numbers or words a row, which two files a core (or, where few cores have joined yet, an
+    eighth of the shuffle's partitions) hold with ease: partitions follow one another in a task, and many small files help
+    nobody.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = scratch(spark, name)
     if narrow:
-        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.option("compression", compression).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.scratch = path
@@ -119,18 +81,16 @@ def written(df: DataFrame, name: str, compression: str = "zstd", narrow: bool =
 
 def written_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """written() of what make() returns; the tables that it wrote on its way are freed."""
-    before = set(_LEFT)
+    before = left()
     out = written(make(), name)
-    for path in _LEFT - before - {out.scratch}:
-        remove(out.sparkSession, path)
-        _LEFT.discard(path)
+    for path in left() - before - {out.scratch}:
+        drop(out.sparkSession, path)
     return out
 
 
 def drop_written(df: DataFrame) -> None:
     """Free the disk of a table from written() that no later step reads."""
-    remove(df.sparkSession, df.scratch)
-    _LEFT.discard(df.scratch)
+    drop(df.sparkSession, df.scratch)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

@@ -18,8 +18,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cinderfold.llm.common import in_batches, load, scratch_path, small
+from cinderfold.llm.common import in_batches, load, small
 from cinderfold.llm.encoding import encoder
+from cinderfold.sources.scratch import scratch
 
 MAGIC = b"CFTB"
 BLOCK = 4096
@@ -173,6 +174,6 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of all documents, read back from the bit-packed table."""
     import public_tokenizers
 
-    path = scratch_path(spark, "tokens")
+    path = scratch(spark, "tokens")
     write_tokens(load(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return read_documents(read_segments(spark, path))
