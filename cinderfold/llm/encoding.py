@@ -6,6 +6,7 @@ import json
 import os
 import re
 from array import array
+from itertools import islice
 
 import numpy as np
 
@@ -16,15 +17,16 @@ _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _WORD = re.compile(f"[{_LETTERS}]+")
 _MARKS = r"!-&(-/:-@\[-`{-~"  # of ASCII, but for the apostrophe, which may open a contraction
+_LAST = frozenset(".,;:!?)")
 _WORDS = re.compile(f"([{_LETTERS}]+)([{_MARKS}]+)(?:(\n)([{_LETTERS}]+)([{_MARKS}]*))?")
 #: White space other than space and newline.
 _RARE_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 500_000
 
 
 class _Chunks(dict):
-    """Bytes of the ids of prefix + chunk, by chunk; emptied when full, so memory stays bounded.
+    """Bytes of the ids of prefix + chunk, by chunk; when full, the older half goes, so memory stays bounded.
 
     A run of letters is one pre-token and goes straight to the library's model; one with marks behind it, and two words
     around the end of a line, are put together from their pre-tokens; all else goes through the library as it is.
@@ -36,9 +38,12 @@ class _Chunks(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= KEPT_CHUNKS:
-            self.clear()
+            for old in list(islice(self, KEPT_CHUNKS // 2)):
+                del self[old]
         if chunk.isalpha() and (chunk.isascii() or _WORD.fullmatch(chunk)):
             got = self.owner.pre_token(self.prefix + chunk)
+        elif chunk[-1] in _LAST and (word := chunk[:-1]).isalpha() and word.isascii():
+            got = self[word] + self.after[chunk[-1]]
         elif m := _WORDS.fullmatch(chunk):
             got = self[m[1]] + b"".join([self.after[x] for x in m.groups()[1:] if x])
         else:
