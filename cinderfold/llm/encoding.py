@@ -42,7 +42,7 @@ class _Chunks(dict):
                 del self[old]
         if chunk.isalpha() and (chunk.isascii() or _WORD.fullmatch(chunk)):
             got = self.owner.pre_token(self.prefix + chunk)
-        elif chunk[-1] in _LAST and (word := chunk[:-1]).isalpha() and word.isascii():
+        elif chunk[-1:] in _LAST and (word := chunk[:-1]).isalpha() and word.isascii():
             got = self[word] + self.after[chunk[-1]]
         elif m := _WORDS.fullmatch(chunk):
             got = self[m[1]] + b"".join([self.after[x] for x in m.groups()[1:] if x])
