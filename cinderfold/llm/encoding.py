@@ -35,13 +35,15 @@ class _Chunks(dict):
     def __init__(self, owner: Encoder, prefix: str, after: _Chunks | None):
         super().__init__()
         self.owner, self.prefix, self.after = owner, prefix, self if after is None else after
+        self.shown, self.tokenize = prefix.replace(" ", "Ġ"), owner.model.tokenize
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= KEPT_CHUNKS:
             for old in list(islice(self, KEPT_CHUNKS // 2)):
                 del self[old]
-        if chunk.isalpha() and (chunk.isascii() or _WORD.fullmatch(chunk)):
-            got = self.owner.pre_token(self.prefix + chunk)
+        if chunk.isalpha() and (plain := chunk.isascii() or _WORD.fullmatch(chunk)):
+            shown = chunk if plain is True else chunk.encode().decode("latin-1").translate(self.owner.characters)
+            got = array("I", [t.id for t in self.tokenize(self.shown + shown)]).tobytes()
         elif chunk[-1:] in _LAST and (word := chunk[:-1]).isalpha() and word.isascii():
             got = self[word] + self.after[chunk[-1]]
         elif m := _WORDS.fullmatch(chunk):
@@ -81,14 +83,6 @@ class Encoder:
         self.first = _Chunks(self, "", None)
         self.rest = _Chunks(self, " ", self.first)
 
-    def pre_token(self, text: str) -> bytes:
-        """Ids of a run of letters, which is one pre-token, with or without the space before it."""
-        if text.isascii():  # letters, at most a space before them
-            shown = "Ġ" + text[1:] if text[0] == " " else text
-        else:
-            shown = text.encode().decode("latin-1").translate(self.characters)
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 

@@ -67,12 +67,12 @@ def to_segment(doc_ids: list[int | None], ids: list[bytes], bits: int) -> bytes:
     flat = np.frombuffer(b"".join(ids), "<u4")
     starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype("<u8")
     n_blocks = -(-len(flat) // BLOCK)
-    blocks = [pack(flat[i * BLOCK : (i + 1) * BLOCK], bits) for i in range(n_blocks)]
-    offsets = np.concatenate([[0], np.cumsum([x.nbytes for x in blocks])]).astype("<u8")
+    words = pack(flat, bits)  # a block is a whole number of pack()'s groups, but for the last one
+    offsets = np.minimum(np.arange(n_blocks + 1) * (BLOCK // 64 * bits * 8), words.nbytes).astype("<u8")
     known = np.array([d is not None for d in doc_ids], np.uint8)
     numbers = np.array([d or 0 for d in doc_ids], "<i8")
     head = _HEAD.pack(MAGIC, 1, bits, BLOCK, len(flat), len(doc_ids), n_blocks)
-    return b"".join([head, numbers.tobytes(), known.tobytes(), starts.tobytes(), offsets.tobytes(), *(x.astype("<u8").tobytes() for x in blocks)])
+    return b"".join([head, numbers.tobytes(), known.tobytes(), starts.tobytes(), offsets.tobytes(), words.astype("<u8", copy=False).tobytes()])
 
 
 class Segment:
@@ -96,11 +96,8 @@ class Segment:
         if stop <= start:
             return np.zeros(0, "<u4")
         first, last = start // self.block, (stop - 1) // self.block
-        parts = []
-        for b in range(first, last + 1):
-            words = np.frombuffer(self.image, "<u8", (self.offsets[b + 1] - self.offsets[b]) // 8, self.data + self.offsets[b])
-            parts.append(unpack(words, self.bits, min(self.block, self.n_ids - b * self.block)))
-        return np.concatenate(parts)[start - first * self.block : stop - first * self.block]
+        words = np.frombuffer(self.image, "<u8", (self.offsets[last + 1] - self.offsets[first]) // 8, self.data + self.offsets[first])
+        return unpack(words, self.bits, stop - first * self.block)[start - first * self.block :]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 0) -> None:
