@@ -41,7 +41,7 @@ def test_written_tables(spark):
     before = left()
     df = spark.range(100, numPartitions=50).withColumn("x", F.lit(None).cast("string"))
     out = written(df, "t", narrow=True)
-    assert out.schema == df.schema and out.count() == 100 and len(out.inputFiles()) <= 25
+    assert out.dtypes == df.dtypes and out.count() == 100 and len(out.inputFiles()) <= 25
     drop_written(out)
     alone = written_alone(lambda: written(df, "inner").where("id < 5"), "outer")
     assert alone.count() == 5 and left() - before == {alone.scratch}
