@@ -179,3 +179,29 @@ def stream_windowed_counts(spark, sf_dir):
     stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
     back = spark.read.schema(stream.schema).parquet(sink)
     return back.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def _run_stream(spark, stream, mode: str):
+    """What a finite stream's only batch gives, by way of a table."""
+    sink = scratch(spark, "stream")
+    put = lambda batch, n: batch.write.mode("append").parquet(sink)
+    stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", scratch(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(sink)
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def stream_dedup(spark, sf_dir):
+    from cinderfold.streaming.ingest import dedup_stream
+
+    events = table(spark, sf_dir, "events")
+    return _run_stream(spark, dedup_stream(spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*"), "user_id", "ts", "1000 days"), "append").select("user_id")
+
+
+@query()
+def stream_gate(spark, sf_dir):
+    from cinderfold.streaming.ingest import ROCKSDB, gate_stream
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = docs(spark, sf_dir)
+    stream = gate_stream(spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/documents.parquet*"), "doc_id", "text")
+    return _run_stream(spark, stream, "append").select(F.col("ord").alias("doc_id"), "accepted", F.round("overlap", 6).alias("overlap"))

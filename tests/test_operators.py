@@ -119,3 +119,16 @@ def test_train_batches_are_shuffled_alike(spark):
     by = lambda df: {r.doc_id: r.batch_no for r in tokens.batches(tokens.shuffled(df, "doc_id", 7), "place", 10, True).collect()}
     a = by(rows)
     assert a == by(rows.repartition(5)) and sorted(a.values()) == sorted(list(range(10)) * 10) and [a[i] for i in range(20)] != sorted(a[i] for i in range(20))
+
+
+def test_gate_stream_is_a_plain_replay(spark):
+    from cinderfold import plans
+
+    seen, expected = set(), {}
+    for d in sorted(spark.read.parquet(f"{SF}/documents.parquet").collect(), key=lambda r: r.doc_id):
+        w = [x.lower() for x in re.findall("[A-Za-z]+", d.text or "")]
+        own = set(zip(w, w[1:], w[2:], w[3:], strict=False))
+        overlap = len(own & seen) / max(1, len(own))
+        expected[d.doc_id] = (overlap <= 0.5, round(overlap, 6))
+        seen |= own if overlap <= 0.5 else set()
+    assert {r.doc_id: (r.accepted, r.overlap) for r in plans.load().QUERIES["stream_gate"](spark, SF).collect()} == expected
