@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from cinderfold.operators import replay
 from cinderfold.operators.corpus import first_wins
 from cinderfold.operators.gate import GRAM, OVERLAP, grams
 
@@ -56,11 +57,39 @@ class _Gate(StatefulProcessor):
 
 
 def gate_stream(stream: DataFrame, order: str, text: str) -> DataFrame:
-    """ord, accepted, overlap of a stream of texts in sequence: one key, as each decision hangs on all before it."""
+    """ord, accepted, overlap of a stream of texts in sequence: one key, as each decision hangs on all before it.
+
+    Each shingle is looked up in the state store, so this is for streams of few texts at a time; gate_into() is for many.
+    """
     rows = stream.select(F.lit(0).alias("k"), F.col(order).cast("long").alias("ord"), grams(F.col(text)).alias("grams"))
     return rows.groupBy("k").transformWithStateInPandas(_Gate(), "ord long, accepted boolean, overlap double", "Append", "None")
 
 
+def gate_into(stream: DataFrame, sink: str, checkpoint: str, order: str, text: str) -> DataFrame:
+    """ord, accepted, overlap of all that is there now, taken into the sink: batch after batch, each in order.
+
+    A batch is replayed in many tasks against the accepted texts of all batches before it, which the sink keeps beside the
+    decisions. A batch that is run again replaces what it wrote.
+    """
+
+    def take(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        rows, n_bytes = replay.placed(batch, order, text)
+        rows.select("at", "text").write.mode("overwrite").option("compression", "zstd").parquet(f"{sink}/texts/batch={n}")
+        texts = rows.select("at", "text")
+        if n:
+            earlier = [spark.read.schema(f"{schema}, batch long").parquet(f"{sink}/{table}").where(F.col("batch") < n) for table, schema in (("texts", "at long, text string"), ("decided", decided))]
+            prior = earlier[0].join(earlier[1].where("accepted").select("batch", "at"), ["batch", "at"]).select(F.lit(replay.PRIOR).alias("at"), "text")
+            n_bytes += earlier[0].agg(F.sum(F.octet_length("text"))).first()[0] or 0
+            texts = texts.unionByName(prior)
+        done = replay.replayed(texts, n_bytes).select("at", replay.accepted().alias("accepted"), replay.overlap().alias("overlap"))
+        rows.select("at", "ord").join(done, "at").write.mode("overwrite").parquet(f"{sink}/decided/batch={n}")
+
+    decided = "at long, ord long, accepted boolean, overlap double"
+    stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(decided).parquet(f"{sink}/decided/batch=*").select("ord", "accepted", "overlap")
+
+
 def dedup_stream(stream: DataFrame, key: str, event_time: str, delay: str) -> DataFrame:
     """The first event of each key within the watermark's reach."""
     stream = stream.withColumn(event_time, F.col(event_time).cast("timestamp"))

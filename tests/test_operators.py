@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cinderfold.operators import corpus, evaluation, gate, tokens
+from cinderfold.operators import corpus, evaluation, gate, replay, tokens
 from cinderfold.functions import model, text
 
 SF = "/root/testdata/sf0.001"
@@ -132,3 +132,42 @@ def test_gate_stream_is_a_plain_replay(spark):
         expected[d.doc_id] = (overlap <= 0.5, round(overlap, 6))
         seen |= own if overlap <= 0.5 else set()
     assert {r.doc_id: (r.accepted, r.overlap) for r in plans.load().QUERIES["stream_gate"](spark, SF).collect()} == expected
+
+
+def plain_replay(rows, seen=()):
+    """order: (shingles, those in accepted texts before); rows in order."""
+    seen, out = set(seen), []
+    for i, t in rows:
+        w = [x.lower() for x in re.findall("[A-Za-z]+", t or "")]
+        own = set(zip(w, w[1:], w[2:], w[3:], strict=False))
+        out.append((i, len(own), len(own & seen)))
+        if 2 * out[-1][2] <= len(own):
+            seen |= own
+    return out
+
+
+@pytest.mark.parametrize("open_rows", [1 << 17, 300, 30])
+def test_replay_of_chains(spark, monkeypatch, open_rows):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(5000)]
+    rows, now = [], [rng.choice(words) for _ in range(40)]
+    for i in range(300):  # each shares about half with the one before, so most decisions hang on others
+        now = [rng.choice(words) for _ in range(rng.randint(0, 80))] if rng.random() < 0.1 else now[rng.randint(5, 25) :] + [rng.choice(words) for _ in range(rng.randint(5, 25))]
+        rows.append((i - 150, " ".join(now)))
+    rows += [(1000, None), (1001, "one two three"), (1002, "é " + rows[7][1].upper().replace(" ", "é1"))]
+    monkeypatch.setattr(replay, "_BUCKET_BYTES", 1 << 12)
+    texts, n_bytes = replay.placed(spark.createDataFrame(rows, "n long, text string").repartition(5), "n", "text")
+    got = {(r.at, r.total, r.covered) for r in replay.replayed(texts, n_bytes, open_rows).collect()}
+    assert got == set(plain_replay(rows)) and 50 < sum(2 * c > n for _, n, c in got) < 250
+
+
+def test_replay_of_equal_and_null_orders(spark, monkeypatch):
+    monkeypatch.setattr(replay, "_VOCABULARY", 3)
+    monkeypatch.setattr(replay, "_CHUNK", 5)
+    rows = [(2, "a b c d e"), (2, "a b c d e"), (None, "a b c d f"), (1, "a b c d g"), (-(2**63), "b c d e f g h"), (2, None), (2, "")]
+    texts, n_bytes = replay.placed(spark.createDataFrame(rows, "n long, text string"), "n", "text")
+    got = [(r.ord, r.total, r.covered) for r in replay.replayed(texts, n_bytes).join(texts.select("at", "ord"), "at").orderBy("at").collect()]
+    key = lambda r: (r[0] is not None, r[0] or 0)
+    assert [x[0] for x in got] == sorted((r[0] for r in rows), key=lambda x: key((x,)))
+    assert sorted(x[1:] for x in got) == sorted(x[1:] for x in plain_replay(sorted(rows, key=lambda r: (*key(r), r[1] or ""))))
+

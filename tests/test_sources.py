@@ -152,6 +152,21 @@ def test_gate_stream(spark, tmp_path):
     assert {r.ord: r.accepted for r in spark.table("gate").collect()} == {1: True, 2: False, 3: True, 4: True}
 
 
+def test_gate_into(spark, tmp_path):
+    from tests.test_operators import plain_replay
+
+    source, sink, check = (f"{tmp_path}/{x}" for x in ("in", "sink", "check"))
+    words = [f"{a}{b}{c}" for a in "abc" for b in "defg" for c in "hijkl"]
+    batches = [[(5, " ".join(words[:20])), (1, " ".join(words[10:30])), (7, None)], [(5, " ".join(words[15:40])), (2, " ".join(words[2:19])), (3, "new words in here alone")], [(0, " ".join(words[20:42])), (9, "new words in here")]]
+    expected, rows = {}, []
+    for batch in batches:
+        rows += sorted(batch, key=lambda r: r[0])
+        spark.createDataFrame(batch, "n long, text string").write.mode("append").parquet(source)
+        out = ingest.gate_into(spark.readStream.schema("n long, text string").parquet(source), sink, check, "n", "text")
+    expected = sorted((i, 2 * c <= n, c / max(1, n)) for i, n, c in plain_replay(rows))
+    assert sorted(map(tuple, out.collect())) == expected and 2 <= sum(not a for _, a, _ in expected) <= 5
+
+
 def test_windowed_stream_equals_batch(spark, tmp_path):
     schema = spark.read.parquet("/root/testdata/sf0.001/events.parquet").schema
     stream = ingest.windowed_counts(spark.readStream.schema(schema).parquet("/root/testdata/sf0.001/events.parquet*"), "ts", "event_type", "value", "1 day", "0 seconds")
