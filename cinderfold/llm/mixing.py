@@ -140,6 +140,12 @@ def curriculum(mixed: DataFrame, schedules: tuple = SCHEDULES) -> DataFrame:
     return turns.withColumn("position", position(F.least(demand, F.lit(1.0)), F.col("nth") % len(schedules), schedules))
 
 
+def in_sequence(turns: DataFrame) -> DataFrame:
+    """turns of curriculum(), range-sorted by training position; ties go by key and epoch."""
+    by = [c for c in ("position", "k1", "k2", "epoch") if c in turns.columns]
+    return turns.repartitionByRange(*by).sortWithinPartitions(*by)
+
+
 def in_training_order(docs: DataFrame, schedules: tuple = SCHEDULES) -> DataFrame:
     """docs' own columns, each row as often as the mix takes it, range-sorted by training position.
 
@@ -149,14 +155,22 @@ def in_training_order(docs: DataFrame, schedules: tuple = SCHEDULES) -> DataFram
     turns = curriculum(mix(sizes(docs)).withColumn("times", F.when(F.col("size") == 0, 1).otherwise(F.col("times"))), schedules)
     turns = turns.select("k1", "k2", "position")
     keyed = docs.select(F.struct(*docs.columns).alias("row"), *row_key()).dropDuplicates(["k1", "k2"])
-    return keyed.join(turns, ["k1", "k2"]).repartitionByRange("position", "k1", "k2").sortWithinPartitions("position", "k1", "k2").select("row.*")
+    return in_sequence(keyed.join(turns, ["k1", "k2"])).select("row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size, source size, target, words taken and first training position of every document."""
+    """Size, source size, target, words taken and first training position of every document.
+
+    Words and first position are read from the curriculum's range-sorted sequence, which is written. A document that is
+    never taken stands where its source's demand would reach it.
+    """
     mixed = mix(written(sizes(load(spark, sf_dir, "documents")), "sizes"))
-    first = position(F.least(F.col("before") / F.greatest(F.col("target"), F.lit(1.0)), F.lit(1.0)), F.col("nth") % len(SCHEDULES))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round(first, 6).alias("first_position"))
+    mixed = written(mixed.withColumn("row", F.monotonically_increasing_id()), "mixed", narrow=True)  # repeated rows have turns of their own
+    turns = written(in_sequence(curriculum(mixed).select("row", "k1", "k2", "epoch", "size", "position")), "sequence")
+    given = turns.groupBy("row").agg(F.sum("size").alias("_given"), F.min("position").alias("_first"))
+    never = position(F.least(F.col("before") / F.greatest(F.col("target"), F.lit(1.0)), F.lit(1.0)), F.col("nth") % len(SCHEDULES))
+    out = mixed.join(given, "row", "left")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("_given", F.lit(0)).cast("long").alias("taken"), F.round(F.coalesce("_first", never), 6).alias("first_position"))
 
 
 def _position_sql(share: str, schedule: str) -> str:

@@ -87,6 +87,19 @@ def test_oracle(spark, tmp_path):
     assert sorted(map(tuple, op3_mixing(spark, str(tmp_path)).collect()), key=key) == sorted(con.execute(OP3_SQL).fetchall(), key=key)
 
 
+def test_query_is_read_from_the_range_sorted_sequence(spark, tmp_path, monkeypatch):
+    from cinderfold.llm import mixing
+
+    docs = spark.createDataFrame(rows_of(), SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = []
+    monkeypatch.setattr(mixing, "in_sequence", lambda turns, f=mixing.in_sequence: kept.append(f(turns)) or kept[-1])
+    got = op3_mixing(spark, str(tmp_path)).collect()
+    assert len(kept) == 1 and sum(r.taken for r in got) == kept[0].agg(F.sum("size")).first()[0]
+    order = [r.position for r in kept[0].collect()]
+    assert order == sorted(order) and len(order) > 400
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert mix(sizes(docs)).count() == 0 and in_training_order(docs).count() == 0
