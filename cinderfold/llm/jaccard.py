@@ -1,8 +1,9 @@
 """Near-duplicates by the Jaccard similarity of texts' sets of five-word shingles.
 
-Candidates share a band of MinHashes; BANDS bands of ROWS leave out a pair of similarity 0.8 with a probability of 5e-6,
+Candidates are texts whose SimHash fingerprints are linked by ball hashing, and, as similar texts often differ in more bits,
+texts that share a band of MinHashes; BANDS bands of ROWS leave out a pair of similarity 0.8 with a probability of 5e-6,
 one of 0.9 with 7e-14. Whole sets of texts that candidates connect are compared: a link is a pair of similarity SIMILARITY or
-more, never a shared band, and no pair of different components goes uncompared.
+more, never a shared band or close fingerprints, and no pair of different components goes uncompared.
 
 A group of at most GROUP_SHINGLES shingles is compared in one task. A larger one is dealt over many: all its sets are held
 against one, its centre, as they stream by; those that are not like the centre are then held, in blocks, against the whole
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderfold.llm.common import in_batches, row_key, written
-from cinderfold.llm.simhash import components, shingle_hashes
+from cinderfold.llm.simhash import components, fingerprint, links, shingle_hashes
 
 SHINGLE = 5
 SIMILARITY = (4, 5)  # as a fraction, so that comparisons are of whole numbers
@@ -87,13 +88,15 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     for batch in batches:
-        ids, keys, sizes = [], [], []
+        ids, keys, sizes, fps = [], [], [], []
         for t in batch.column("text"):
-            own = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"")
+            raw = t.as_buffer().to_pybytes() if t.is_valid else b""
+            own = shingle_set(raw)
             ids.append(xxhash.xxh3_64_intdigest(own.tobytes()))
             keys.append(band_keys(own).view(np.int64))
             sizes.append(len(own))
-        yield pa.RecordBatch.from_arrays([batch.column("no"), batch.column("k1"), batch.column("k2"), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["no", "k1", "k2", "sid", "keys", "n"])
+            fps.append(fingerprint(raw))
+        yield pa.RecordBatch.from_arrays([batch.column("no"), batch.column("k1"), batch.column("k2"), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64))], ["no", "k1", "k2", "sid", "keys", "n", "fp"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,12 +216,19 @@ def _of_large_groups(whole: DataFrame, group_shingles: int) -> DataFrame:
     return components(edges.where("a <> b").distinct()).select(F.col("v").alias("sid"), F.col("label").alias("root"))
 
 
+def by_fingerprint(sets: DataFrame) -> DataFrame:
+    """sid, key: a key for each component of fingerprints (column fps) that ball hashing links; none of empty sets."""
+    fps = written(sets.where("n > 0").select("sid", F.explode("fps").alias("fp")), "fps", narrow=True)
+    labels = components(links(fps.select("fp").distinct())).withColumnRenamed("v", "fp")
+    return fps.join(labels, "fp", "left").select("sid", F.xxhash64(F.coalesce("label", "fp"), F.lit("fp")).alias("key"))
+
+
 def similar_sets(docs: DataFrame, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """sid, root, no, k1, k2: each distinct set of shingles, its component, and the row with it of least doc_id (null last), then key."""
     texts = docs.select(F.col("doc_id").isNull().alias("no"), *row_key(), F.col("text").cast("string").alias("text"))
-    signed = texts.transform(in_batches, _signed, "no boolean, k1 long, k2 long, sid long, keys array<long>, n long")
-    sets = written(signed.groupBy("sid").agg(F.min(F.struct("no", "k1", "k2")).alias("m"), F.first("keys").alias("keys"), F.first("n").alias("n")).select("sid", "m.*", "keys", "n"), "sets", narrow=True)
-    keyed = sets.select("sid", F.explode("keys").alias("key"))
+    signed = texts.transform(in_batches, _signed, "no boolean, k1 long, k2 long, sid long, keys array<long>, n long, fp long")
+    sets = written(signed.groupBy("sid").agg(F.min(F.struct("no", "k1", "k2")).alias("m"), F.first("keys").alias("keys"), F.first("n").alias("n"), F.collect_set("fp").alias("fps")).select("sid", "m.*", "keys", "n", "fps"), "sets", narrow=True)
+    keyed = sets.select("sid", F.explode("keys").alias("key")).unionByName(by_fingerprint(sets))
     stars = keyed.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("a <> z").select("key", "a")
     stars = written(stars, "stars", narrow=True).join(keyed, "key").select("a", F.col("sid").alias("b")).where("a <> b").distinct()
     groups = components(stars).withColumnRenamed("v", "sid")
@@ -233,7 +243,7 @@ def similar_sets(docs: DataFrame, group_shingles: int = GROUP_SHINGLES) -> DataF
     roots = small.repartition("label").sortWithinPartitions("label", "sid").transform(in_batches, _verified, "sid long, root long")
     if some_large:
         roots = roots.unionByName(_of_large_groups(whole.where("parts > 1").dropDuplicates(["sid"]), group_shingles))
-    return sets.drop("keys", "n").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    return sets.drop("keys", "n", "fps").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
 
 def without_similar(docs: DataFrame, group_shingles: int = GROUP_SHINGLES) -> DataFrame:

@@ -94,3 +94,19 @@ def test_real_pairs(spark):
     linked = {p for p in pairs if jaccard(sets[p[0]], sets[p[1]]) >= 0.8}
     assert len(linked) > 10 and not any(i in kept and j in kept for i, j in linked)
     assert {j for j in sets if j not in kept} == {j for _, j in linked}
+
+
+def test_candidates_come_from_ball_hashing_too(spark, monkeypatch):
+    from cinderfold.llm import jaccard
+
+    rng = random.Random(8)
+    rows = [(i, rng.randint(1, 9), [rng.getrandbits(63)]) for i in range(30)]
+    rows += [(100 + i, 3, [rows[i][2][0] ^ 1 << i ^ 1 << i + 20 ^ 1 << i + 40]) for i in range(10)] + [(200, 3, rows[0][2]), (201, 0, [0]), (202, 0, [0])]
+    keys = {r.sid: r.key for r in jaccard.by_fingerprint(spark.createDataFrame(rows, "sid long, n long, fps array<long>")).collect()}
+    assert all(keys[i] == keys[100 + i] for i in range(10)) and keys[0] == keys[200] and len(set(keys.values())) == 30 and 201 not in keys
+    called = []
+    monkeypatch.setattr(jaccard, "by_fingerprint", lambda sets, f=jaccard.by_fingerprint: called.append(1) or f(sets))
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
+    texts = [" ".join(words), " ".join([*words[:-1], "x"]), " ".join(words[::-1])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "", "", 1) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r.doc_id for r in without_similar(docs).collect()) == [0, 2] and called
