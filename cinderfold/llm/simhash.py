@@ -4,7 +4,7 @@ Fingerprints within radius r link. Each distinct fingerprint emits all its varia
 that size meet in some variant exactly if their centres are within twice the half. An odd radius leaves one bit over: it
 is met by leaving out one of BLOCKS blocks of bits, as some block holds one of the differing bits, and the rest differs
 in one bit less. Fingerprints that share a variant are verified by their differing bits. Each bucket of a variant sends
-on a star of its linked members, never their pairs, and components are joined by hooking and pointer jumping.
+on a star of its linked members, never their pairs, and components are found by contracting the links round by round.
 """
 
 from __future__ import annotations
@@ -186,25 +186,41 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """v, label: the least vertex of the component of every vertex of edges (a, b).
 
-    In each round every label group takes the least label next to any of its members, then labels are replaced by
-    their own labels; so a chain's length at least halves. Each round is written to the shared folder.
+    In each round every vertex points to the least vertex next to it, pointers are followed to their ends, and the edges,
+    which thereby become fewer, are put between those ends, each once. Two rounds at least halve the vertices that have
+    edges, so the work is in proportion to the edges at first. Each round is written to the shared folder.
     """
-    edges = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges", narrow=True)
-    labels = written(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("label")), "labels", narrow=True)
-    while True:
-        beside = edges.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("beside"))
-        near = labels.join(beside, "v").select("v", "label", F.least("label", "beside").alias("near"))
-        groups = near.groupBy("label").agg(F.min("near").alias("least"))
-        hooked = written(near.join(groups, "label").select("v", "label", F.least("near", "least").alias("new")), "hooked", narrow=True)
-        up = hooked.select(F.col("v").alias("new"), F.col("new").alias("up"))
-        new = written(hooked.join(up, "new").select("v", F.least("new", "up").alias("label"), F.col("label").alias("old")), "labels", narrow=True)
-        changed = new.where(F.col("label") != F.col("old")).limit(1).count()
-        for done in (labels, hooked):
+    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", narrow=True)
+    rounds: list[DataFrame] = []
+    while not rounds or edges.limit(1).count():
+        both = edges.select(F.col("a").alias("v"), F.col("b").alias("up")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("up")))
+        ends = _ends(written(both.groupBy("v").agg(F.least("v", F.min("up")).alias("up")), "up", narrow=True))
+        rounds.append(ends)
+        left = edges.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").where("x <> y")
+        left = written(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges", narrow=True)
+        drop_written(edges)
+        edges = left
+    labels = rounds[0].withColumnRenamed("up", "label")
+    for ends in rounds[1:]:
+        labels = labels.join(ends.toDF("label", "up"), "label", "left").select("v", F.coalesce("up", "label").alias("label"))
+    if len(rounds) > 1:
+        labels = written(labels, "labels", narrow=True)
+        for done in rounds:
             drop_written(done)
-        labels = new
-        if not changed:
-            drop_written(edges)
-            return labels.select("v", "label")
+    drop_written(edges)
+    return labels
+
+
+def _ends(ups: DataFrame) -> DataFrame:
+    """v, up with each pointer followed to a vertex that points to itself; frees ups, a table from written()."""
+    while True:
+        further = ups.join(ups.toDF("up", "second"), "up").join(ups.toDF("second", "third"), "second")
+        new = written(further.select("v", F.col("third").alias("up"), F.col("second").alias("old")), "up", narrow=True)
+        drop_written(ups)
+        ups = new.select("v", "up")
+        ups.scratch = new.scratch
+        if not new.where("up <> old").limit(1).count():
+            return ups
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:

@@ -86,6 +86,40 @@ def test_long_chain(spark):
     assert got == {**dict.fromkeys(range(300), 0), 1000: 1000, 1001: 1000}
 
 
+def test_components_of_any_graph(spark):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)]
+    pairs += [(500 + i, 500 + i + 1) for i in range(60)] + [(700 + i, 799) for i in range(60)] + [(900, 900)]  # a sorted path, a star with its least last, a loop
+    got = {r.v: r.label for r in components(spark.createDataFrame(pairs * 2, "a long, b long")).collect()}
+    label = roots(1000, *np.array(pairs).T)
+    assert got == {v: int(label[v]) for v in {x for p in pairs for x in p}}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def rows_of_joins(spark, run):
+    """Output rows of all joins that run() makes Spark execute."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    each = lambda x: [x.apply(i) for i in range(x.size())]
+    before = {e.executionId() for e in each(store.executionsList())}
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    out = 0
+    for i in {e.executionId() for e in each(store.executionsList())} - before:
+        values = store.executionMetrics(i)
+        for node in each(store.planGraph(i).allNodes()):
+            rows = [values.get(m.accumulatorId()) for m in each(node.metrics()) if "Join" in node.name() and m.name() == "number of output rows"]
+            out += sum(int(v.get().replace(",", "")) for v in rows if v.isDefined())
+    return out
+
+
+def test_edges_of_a_dense_group_are_joined_once(spark):
+    """Edges are joined once at either end, not in every round."""
+    rng = random.Random(7)
+    near = sorted({tuple(sorted(rng.sample(range(150), 2))) for _ in range(6000)})
+    edges = spark.createDataFrame(near, "a long, b long")
+    assert rows_of_joins(spark, lambda: components(edges).count()) < 2 * len(near) + 20 * 150
+
+
 SCHEMA = "doc_id long, text string, lang string, fp string, k1 string, root string, row int"
 
 
