@@ -62,7 +62,7 @@ def unpack(words: np.ndarray, bits: int, n: int) -> np.ndarray:
     return out.T.reshape(-1)[:n].astype("<u4")
 
 
-def to_segment(doc_ids: list[int | None], ids: list[bytes], bits: int) -> bytes:
+def to_segment(doc_ids: list[int | None], ids: list[bytes] | list[memoryview], bits: int) -> bytes:
     """Image of one segment; ids: little-endian unsigned 32-bit integers of each document."""
     flat = np.frombuffer(b"".join(ids), "<u4")
     starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype("<u8")
@@ -109,20 +109,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, before, seg = encoder(tokenizer_file), TaskContext.get().partitionId(), 0, 0
-        bits, end = bits_for(max(enc.n_vocab, end_id + 1)), np.array([end_id], "<u4").tobytes()
+        bits = bits_for(max(enc.n_vocab, end_id + 1))
         numbers: list[int | None] = []
-        held: list[bytes] = []
+        held: list[memoryview] = []
         n = 0
 
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"part": [part], "segment": [seg], "part_start": [before], "n_ids": [n], "image": [to_segment(numbers, held, bits)]}, schema=_SEGMENTS)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                raw = enc.raw(text.as_py()) + end
+            ids, stops = enc.batch(batch.column("text"), end_id)
+            flat, at = memoryview(ids.tobytes()), 0
+            for doc_id, stop in zip(batch.column("doc_id").to_pylist(), stops.tolist(), strict=True):
                 numbers.append(doc_id)
-                held.append(raw)
-                n += len(raw) // 4
+                held.append(flat[4 * at : 4 * stop])
+                n, at = n + stop - at, stop
                 if n >= SEGMENT_IDS:
                     yield row()
                     before, seg, numbers, held, n = before + n, seg + 1, [], [], 0

@@ -1,10 +1,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from cinderfold.llm import encoding
 from cinderfold.llm.encoding import Encoder
 from cinderfold.llm.token_output import Segment, bits_for, pack, read_documents, read_segments, to_segment, unpack, write_tokens
 
@@ -52,6 +54,49 @@ def test_chunked_ids_of_edge_texts(enc, text):
     assert enc.ids(text).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def librarys(enc, texts):
+    ids = [[*enc.tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    return sum(ids, []), np.cumsum([len(x) for x in ids]).tolist()
+
+
+def of_batch(enc, texts):
+    ids, stops = enc.batch(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), 0)
+    return ids.tolist(), stops.tolist()
+
+
+_PARTS = ["a", "Zé", "ß", "1", "#", "½", "²", "._", "'", "'s", ",", "!", "\n", " ", " ", "汉", "\U0001f600", "×", "÷", "ɏ", "ɐ", "Ā", "\x00", "\x7f", "endoftext|>", "x.\nA "]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.none() | st.lists(st.sampled_from([*_PARTS, "  ", " \n", "\t", "\x1c", "\x85", "\xa0", "\u3000", "<|endoftext|>"]), max_size=20).map("".join) | st.lists(st.sampled_from(_PARTS), max_size=20).map("".join), max_size=6))
+def test_ids_of_a_batch_are_the_librarys(enc, texts):
+    assert of_batch(enc, texts) == librarys(enc, texts)
+    assert of_batch(enc, pa.array(texts, pa.string())[1:]) == librarys(enc, texts[1:])
+
+
+def test_a_batch_looks_up_each_piece_once(enc, monkeypatch):
+    asked = []
+    learn = enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda pieces, rough: asked.append(pieces) or learn(pieces, rough))
+    texts = ["So, words. Words,\nwords: so it's SO so.", "words, so."] * 500
+    assert of_batch(enc, texts) == librarys(enc, texts)
+    assert [sorted(pieces) for pieces in asked] == [sorted(["So", ",", " words", ".", " Words", "\n", "words", ":", " so", " it's", " SO"])]
+
+
+def test_full_cache_of_pieces_stays_bounded_and_right(monkeypatch):
+    monkeypatch.setattr(encoding, "KEPT_CHUNKS", 8)
+    enc = Encoder(FILE)
+    for texts in (["a b c d e f"], ["a b g h i j k"], ["a " + "long" * 40, " ".join("abcdefghijklmnopq")], ["b c"]):
+        assert of_batch(enc, texts) == librarys(enc, texts)
+        assert len(enc.pieces) <= 8
+
+
+def test_ids_are_gathered_in_blocks(enc, monkeypatch):
+    monkeypatch.setattr(encoding, "_GATHERED", 3)
+    texts = ["one two, three", None, "", "four  five", "six seven eight nine"]
+    assert of_batch(enc, texts) == librarys(enc, texts)
+
+
 SCHEMA = "doc_id long, text string, start long, part int, segment int"
 
 
